@@ -13,8 +13,8 @@ _INF = float("inf")
 
 
 def is_finite(x: Column) -> Column:
-    """True for a present, finite number; never NULL."""
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(_INF))
+    """True for a finite number, otherwise false or NULL (NaN sorts above infinity in Spark)."""
+    return F.abs(x) < F.lit(_INF)
 
 
 def finite(x: Column) -> Column:

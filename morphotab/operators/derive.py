@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from morphotab import schema as S
 from morphotab.functions.columns import col, key_struct, partition
-from morphotab.functions.nulls import safe_div, strict_avg, strict_sum
+from morphotab.functions.nulls import finite, strict_avg, strict_sum
 from morphotab.operators.catalog import available_variables, with_prerequisites
 
 GROUP = [S.IMAGE, S.CHANNEL, S.CATEGORY, S.OBJECT]
@@ -106,6 +106,17 @@ class _Plan:
         self.group_aggs: dict[str, Column] = {"_n": F.count(F.lit(1))}
         self.group_windows: dict[str, Column] = {}
         self.object_aggs: dict[str, Column] = {}
+        self.levels: list[dict[str, Column]] = [{}, {}, {}]
+
+    def quotient(self, key: str, x: Column, y: Column, level: int = 0) -> Column:
+        """A finite quotient; level n may read the quotients of levels below n.
+
+        Each level becomes its own projection, so a quotient is computed once however
+        often it is read, and the generated code stays in small, compilable methods.
+        """
+        key = f"_q_{key}"
+        self.levels[level][key] = F.try_divide(x, y)
+        return col(key)
 
     # -- values of the (image, channel, category, object) group ------------------------------
 
@@ -195,40 +206,47 @@ class _Plan:
                 .agg(*[value.alias(key) for key, value in self.object_aggs.items()])
             )
             out = out.withColumn("_object", key_struct(OBJECT_GROUP)).join(objects, "_object", "left").drop("_object")
+        for level in self.levels:
+            if level:
+                out = out.withColumns(level)
+                out = out.withColumns({key: finite(col(key)) for key in level})
         return out
 
 
 def _ratio_columns(plan: _Plan, ratios: Ratios, columns: Sequence[str]) -> dict[str, Column]:
     out: dict[str, Column] = {}
 
-    def put(pair: Pair, of: str, a: Column, b: Column) -> None:
-        relevant = col(S.CHANNEL).isin(*pair)
-        known = S.MISSING_CHANNEL not in pair
-        out[ratio_name(pair, of)] = F.when(relevant & F.lit(known), safe_div(a, b))
+    def put(pair: Pair, of: str, values, level: int) -> None:
+        name = ratio_name(pair, of)
+        if S.MISSING_CHANNEL in pair:
+            out[name] = F.lit(None).cast("double")
+        else:
+            value = plan.quotient(name, values(pair[0]), values(pair[1]), level)
+            out[name] = F.when(col(S.CHANNEL).isin(*pair), value)
 
     for pairs, name in ((ratios.sums, S.INTENSITY_SUM), (ratios.means, S.INTENSITY_MEAN)):
         if name in columns:
-            for a, b in pairs:
-                put((a, b), name, plan.object_value(name, a), plan.object_value(name, b))
+            for pair in pairs:
+                put(pair, name, lambda ch, name=name: plan.object_value(name, ch), 0)
 
     if plan.reference and S.INTENSITY_SUM in columns:
         name = S.INTENSITY_SUM
 
+        def reference_in(channel: str) -> Column:
+            return plan.in_channel(plan.reference_value(name), f"_ref_{name}", channel, [S.IMAGE])
+
         def per_reference(channel: str) -> Column:
-            ref = plan.in_channel(plan.reference_value(name), f"_ref_{name}", channel, [S.IMAGE])
-            return safe_div(plan.object_value(name, channel), ref)
+            return plan.quotient(f"ref@{channel}", plan.object_value(name, channel), reference_in(channel))
 
         def per_group(channel: str) -> Column:
-            ref = plan.in_channel(plan.reference_value(name), f"_ref_{name}", channel, [S.IMAGE])
-            whole = plan.in_channel(
-                plan.label_total(name), f"_label_total_{name}", channel, [S.IMAGE, S.OBJECT]
-            )
-            return safe_div(per_reference(channel), safe_div(whole, ref))
-
-        for a, b in ratios.reference_sums:
-            put((a, b), f"Intensity Sum Normalised per {plan.reference}", per_reference(a), per_reference(b))
-        for a, b in ratios.group_sums:
-            put((a, b), "Intensity Sum Normalised per Group", per_group(a), per_group(b))
+            total = plan.in_channel(plan.label_total(name), f"_label_total_{name}", channel, [S.IMAGE, S.OBJECT])
+            whole = plan.quotient(f"whole@{channel}", total, reference_in(channel))
+            return plan.quotient(f"group@{channel}", per_reference(channel), whole, 1)
+
+        for pair in ratios.reference_sums:
+            put(pair, f"Intensity Sum Normalised per {plan.reference}", per_reference, 1)
+        for pair in ratios.group_sums:
+            put(pair, "Intensity Sum Normalised per Group", per_group, 2)
     return out
 
 
@@ -270,57 +288,58 @@ def derive(
             out[name] = value()
 
     ref = reference
+
+    def over(name: str, x: Column, y: Column, level: int = 0) -> Column:
+        return plan.quotient(name, x, y, level)
+
+    def per_reference(name: str) -> Column:
+        return over(f"{name} per ref", col(name), plan.reference_value(name))
+
+    def by_group(name: str) -> Column:
+        whole = over(f"{name} of label", plan.label_total(name), plan.reference_value(name))
+        return over(f"{name} by group", per_reference(name), whole, 1)
+
     if ref:
         for name in (S.INTENSITY_SUM, S.INTENSITY_MEAN, S.INTENSITY_STD):
-            per_ref = lambda name=name: safe_div(col(name), plan.reference_value(name))
-            by_group = lambda name=name: safe_div(
-                safe_div(col(name), plan.reference_value(name)),
-                safe_div(plan.label_total(name), plan.reference_value(name)),
-            )
-            put(f"{name} Normalised per {ref}", [name], per_ref)
-            put(f"{name} Normalised by Group", [name], by_group)
+            put(f"{name} Normalised per {ref}", [name], lambda name=name: per_reference(name))
+            put(f"{name} Normalised by Group", [name], lambda name=name: by_group(name))
         if distance:
             put(
                 f"Normalized Distance to {ref}",
                 [distance],
-                lambda: safe_div(col(distance), plan.center_value(distance)),
+                lambda: over("distance", col(distance), plan.center_value(distance)),
             )
         put(
             "Signal Density",
             [S.INTENSITY_SUM, S.VOLUME],
-            lambda: safe_div(safe_div(col(S.INTENSITY_SUM), plan.reference_value(S.INTENSITY_SUM)), col(S.VOLUME)),
-        )
-        put(
-            f"Group Intensity Sum Relative to {ref}",
-            [S.INTENSITY_SUM],
-            lambda: safe_div(plan.total(S.INTENSITY_SUM), plan.surface_value(S.INTENSITY_SUM)),
-        )
-        put(
-            f"Group Intensity Mean Relative to {ref}",
-            [S.INTENSITY_MEAN],
-            lambda: safe_div(plan.average(S.INTENSITY_MEAN), plan.surface_value(S.INTENSITY_MEAN)),
-        )
-        put(
-            f"Volume Relative to {ref}",
-            [S.VOLUME],
-            lambda: safe_div(col(S.VOLUME), plan.surface_value(S.VOLUME)),
-        )
-        put(
-            f"Group Volume Relative to {ref}",
-            [S.VOLUME],
-            lambda: safe_div(plan.total(S.VOLUME), plan.surface_value(S.VOLUME)),
+            lambda: over("density", per_reference(S.INTENSITY_SUM), col(S.VOLUME), 1),
         )
+        for label, name, value in (
+            ("Group Intensity Sum", S.INTENSITY_SUM, plan.total),
+            ("Group Intensity Mean", S.INTENSITY_MEAN, plan.average),
+            ("Volume", S.VOLUME, col),
+            ("Group Volume", S.VOLUME, plan.total),
+        ):
+            put(
+                f"{label} Relative to {ref}",
+                [name],
+                lambda label=label, name=name, value=value: over(label, value(name), plan.surface_value(name)),
+            )
     put("Group Intensity Sum", [S.INTENSITY_SUM], lambda: plan.total(S.INTENSITY_SUM))
     put("Group Intensity Mean", [S.INTENSITY_MEAN], lambda: plan.average(S.INTENSITY_MEAN))
     put("Group Volume", [S.VOLUME], lambda: plan.total(S.VOLUME))
     put("Group Surface Area", [S.AREA], lambda: plan.total(S.AREA))
     put("Object Count", [], plan.object_count)
-    put("Volume Relative to Group", [S.VOLUME], lambda: safe_div(col(S.VOLUME), plan.total(S.VOLUME)))
-    put("Surface Area-to-Volume Ratio", [S.AREA, S.VOLUME], lambda: safe_div(col(S.AREA), col(S.VOLUME)))
+    put(
+        "Volume Relative to Group",
+        [S.VOLUME],
+        lambda: over("volume in group", col(S.VOLUME), plan.total(S.VOLUME)),
+    )
+    put("Surface Area-to-Volume Ratio", [S.AREA, S.VOLUME], lambda: over("area", col(S.AREA), col(S.VOLUME)))
     put(
         "Group Surface Area-to-Volume Ratio",
         [S.AREA, S.VOLUME],
-        lambda: safe_div(plan.total(S.AREA), plan.total(S.VOLUME)),
+        lambda: over("group area", plan.total(S.AREA), plan.total(S.VOLUME)),
     )
     out.update(_ratio_columns(plan, ratios, df.columns))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphotab import schema as S
+from morphotab.sources.shared import stored
 
 DISTANCE = "Distance to Nucleus"
 MEASURES = [S.INTENSITY_SUM, S.INTENSITY_MEAN, S.INTENSITY_STD, S.VOLUME, S.AREA, DISTANCE]
@@ -15,38 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def located_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with the genotype, treatment, image and channel they stand for."""
-    suppliers = (
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", "s_nationkey", "r_name")
     )
-    return table(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
-def image_columns() -> list[Column]:
-    return [
-        F.when(F.col("s_nationkey") % 2 == 0, "WT").otherwise("MUT").alias(S.GENOTYPE),
-        F.col("r_name").alias(S.TREATMENT),
-        F.concat(F.lit("img_"), F.col("l_suppkey").cast("string")).alias(S.IMAGE),
-    ]
+def image_columns() -> dict[str, Column]:
+    """Genotype, treatment and image that a supplier stands for."""
+    return {
+        S.GENOTYPE: F.when(F.col("s_nationkey") % 2 == 0, "WT").otherwise("MUT"),
+        S.TREATMENT: F.col("r_name"),
+        S.IMAGE: F.concat(F.lit("img_"), F.col("s_suppkey").cast("string")),
+    }
 
 
 def channel_column() -> Column:
     return F.when(F.col("l_linestatus") == "F", "1").otherwise("2").alias(S.CHANNEL)
 
 
-def object_columns() -> list[Column]:
-    return [
-        F.when(F.col("p_size") % 2 == 0, "Surface").otherwise("Spot").alias(S.CATEGORY),
-        F.col("p_type").alias(S.OBJECT),
-    ]
+def object_columns() -> dict[str, Column]:
+    return {
+        S.CATEGORY: F.when(F.col("p_size") % 2 == 0, "Surface").otherwise("Spot"),
+        S.OBJECT: F.col("p_type"),
+    }
 
 
 def _measures() -> list[Column]:
-    money = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
+    # prices have two decimals: whole cents add up exactly in any order
+    money = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.lit(100.0)
     return [
         money.alias(S.INTENSITY_SUM),
         (money / F.count(F.lit(1))).alias(S.INTENSITY_MEAN),
@@ -58,30 +59,37 @@ def _measures() -> list[Column]:
 
 def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (image, object, channel); some images lack a reference object or a centre of mass."""
-    lines = located_lines(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem")
+    places = suppliers(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     first = [S.GENOTYPE, S.TREATMENT, S.IMAGE, S.CATEGORY, S.OBJECT, S.CHANNEL, S.OBJECT_ID]
 
+    def placed(df: DataFrame) -> DataFrame:
+        # a supplier is one image, so its names are joined to the aggregated rows
+        return df.join(places, F.col("l_suppkey") == F.col("s_suppkey")).withColumns(image_columns())
+
     objects = (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(*image_columns(), *object_columns(), channel_column(), F.col("p_size"))
-        .agg(*_measures(), F.min(F.round(F.col("l_discount") * 100)).alias(DISTANCE))
+        placed(
+            lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy("l_suppkey", "p_type", "p_size", channel_column())
+            .agg(*_measures(), F.min(F.round(F.col("l_discount") * 100)).alias(DISTANCE))
+        )
+        .withColumns(object_columns())
         .withColumn(S.VOLUME, F.when(F.col("p_size") % 17 != 0, F.col(S.VOLUME)))
         .withColumn(S.OBJECT_ID, F.col("p_size").cast("string"))
         .select(*first, *MEASURES)
     )
-    per_image = [*image_columns(), channel_column()]
     references = (
-        lines.where(F.col("l_suppkey") % 10 != 0)
-        .groupBy(*per_image)
-        .agg(*_measures(), F.lit(0.0).alias(DISTANCE))
+        placed(
+            lines.where(F.col("l_suppkey") % 10 != 0)
+            .groupBy("l_suppkey", channel_column())
+            .agg(*_measures(), F.lit(0.0).alias(DISTANCE))
+        )
         .withColumns({S.CATEGORY: F.lit("Surface"), S.OBJECT: F.lit(S.NUCLEUS), S.OBJECT_ID: F.lit("-1")})
         .select(*first, *MEASURES)
     )
     centers = (
-        lines.where(F.col("l_suppkey") % 7 != 3)
-        .select(*per_image)
-        .distinct()
+        placed(lines.where(F.col("l_suppkey") % 7 != 3).select("l_suppkey", channel_column()).distinct())
         .withColumns({S.CATEGORY: F.lit("Spot"), S.OBJECT: F.lit(S.CENTER_OF_MASS), S.OBJECT_ID: F.lit("-2")})
         .withColumns({name: F.lit(None).cast("double") for name in MEASURES})
         .select(*first, *MEASURES)
@@ -89,6 +97,11 @@ def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.unionByName(references).unionByName(centers)
 
 
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as a stored table, the usual input of the operators."""
+    return stored(spark, f"measurements {sf_dir}", lambda: measurement_view(spark, sf_dir))
+
+
 # The same view for the SQL side, as common table expressions `base` and `m`.
 VIEW_SQL = """
 base AS (
@@ -107,8 +120,8 @@ base AS (
 ),
 m AS (
   SELECT genotype, treatment, image_file, category, object, channel, CAST(p_size AS VARCHAR) AS object_id,
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS intensity_sum,
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS intensity_mean,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS intensity_sum,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / count(*) AS intensity_mean,
          round(stddev_samp(l_extendedprice), 6) AS intensity_stddev,
          CASE WHEN p_size % 17 <> 0 THEN CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) END AS volume,
          CAST(sum(l_linenumber) AS DOUBLE) AS area,
@@ -116,8 +129,8 @@ m AS (
   FROM base GROUP BY genotype, treatment, image_file, category, object, channel, p_size
   UNION ALL
   SELECT genotype, treatment, image_file, 'Surface', 'Nucleus', channel, '-1',
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE),
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*),
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / count(*),
          round(stddev_samp(l_extendedprice), 6),
          CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE),
          CAST(sum(l_linenumber) AS DOUBLE), 0.0
