@@ -7,13 +7,18 @@ facet, so these small vector helpers only ever see the tail of an aggregation.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+# ship these helpers with the query: executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def chi2_sf_1df(x: float) -> float:
     return math.erfc(math.sqrt(max(x, 0.0) / 2.0))
@@ -83,36 +88,29 @@ def _each(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(values, dtype="float64")
 
 
-@pandas_udf("double")
-def _chi2_sf_1df(x: pd.Series) -> pd.Series:
-    return _each(chi2_sf_1df, x)
-
-
-@pandas_udf("double")
-def _f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _each(f_sf, f, d1, d2)
-
+def _known(x: Column) -> Column:
+    return F.when(~F.isnan(x), x)
 
-@pandas_udf("double")
-def _t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _each(t_sf_two_sided, t, df)
 
+def _tail(fn, *args: Column) -> Column:
+    @pandas_udf("double")
+    def tail(*series: pd.Series) -> pd.Series:
+        return _each(fn, *series)
 
-def _known(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
+    return _known(tail(*[a.cast("double") for a in args]))
 
 
 def chi2_p(h: Column) -> Column:
     """Upper tail of chi-square with one degree of freedom; NULL stays NULL."""
-    return _known(_chi2_sf_1df(h.cast("double")))
+    return _tail(chi2_sf_1df, h)
 
 
 def f_p(f: Column, d1: Column, d2: Column) -> Column:
-    return _known(_f_sf(f.cast("double"), d1.cast("double"), d2.cast("double")))
+    return _tail(f_sf, f, d1, d2)
 
 
 def t_p(t: Column, df: Column) -> Column:
-    return _known(_t_sf(t.cast("double"), df.cast("double")))
+    return _tail(t_sf_two_sided, t, df)
 
 
 def p_text(p: Column) -> Column:

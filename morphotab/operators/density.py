@@ -7,10 +7,12 @@ smooth these grids, one facet per row.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -20,6 +22,9 @@ from morphotab.functions.nulls import finite, is_finite
 from morphotab.functions.skew import join_facets
 from morphotab.operators.ranks import SAMPLE_EVERY, key_columns, quantiles
 
+# ship the smoothing functions with the query: executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Limits = tuple[float, float]
 
 

@@ -16,7 +16,6 @@ from morphotab import schema as S
 from morphotab.functions.columns import col, key_struct
 from morphotab.functions.nulls import finite
 from morphotab.operators.clean import SPOTS, SURFACES, SURPASS_OBJECT, harmonise, retained_columns
-from morphotab.sources.tables import STRING_COLUMNS, import_table
 
 PREAMBLE_LINES = 3
 WHOLE_FILE_BYTES = 32 << 20
@@ -39,7 +38,7 @@ def path_metadata(path: Column) -> dict[str, Column]:
 
 def skipped_file(path: Column, patterns: Sequence[str] = tuple(S.SKIPPED_FILES)) -> Column:
     """Whether a path matches one of the patterns anywhere."""
-    return reduce(lambda a, b: a | b, [path.rlike(p) for p in patterns])
+    return path.rlike("|".join(patterns))
 
 
 def skip_listed_files(
@@ -54,9 +53,9 @@ def skip_small_files(files: DataFrame, size: str = "_size", min_bytes: int = S.M
 
 
 def _metadata(df: DataFrame) -> DataFrame:
-    return df.select(
-        "value", F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_size").alias("_size")
-    )
+    # the path comes percent-encoded, in which a plus sign stands for itself
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.select("value", path.alias(SOURCE), F.col("_metadata.file_size").alias("_size"))
 
 
 def _fields(line: Column, width: int) -> Column:
@@ -73,7 +72,7 @@ def _fields(line: Column, width: int) -> Column:
 
 def _text(spark: SparkSession, root: str, whole: bool) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    rows = _metadata(reader.option("wholetext", whole).text(root))
+    rows = _metadata(reader.text(root, wholetext=whole))
     return skip_listed_files(skip_small_files(rows))
 
 
@@ -152,4 +151,4 @@ def read_stat_tree(spark: SparkSession, root: str) -> DataFrame:
 
     If an object-level statistic has several values, the file with the smallest path decides.
     """
-    return import_table(harmonise(read_stat_rows(spark, root), order_by=SOURCE))
+    return harmonise(read_stat_rows(spark, root), order_by=SOURCE)
