@@ -38,11 +38,10 @@ def kruskal(
         per_group.groupBy("_key")
         .agg(
             F.max("_total").alias("_total"),
-            F.count(F.lit(1)).alias("_groups"),
+            (F.count(F.lit(1)) == 2).alias("_tested"),
             F.sum(F.pow("_shift", 2) / F.col("_size")).alias("_between"),
             F.sum("_tie_sum").alias("_tie_sum"),
         )
-        .withColumn("_tested", F.col("_groups") == 2)
         .withColumn("_correction", 1 - F.try_divide(F.col("_tie_sum"), F.pow(n, 3) - n))
         .withColumn(
             "statistic",
@@ -55,12 +54,14 @@ def kruskal(
     # every facet with a value is listed, also when none of its rows has a group
     facets = (
         df.where(is_finite(col(value).cast("double")))
-        .select(F.struct(col(split).alias(split)).alias("_key"))
+        .select(F.struct(col(split).alias(split)).alias("_key"), col(group).alias("_group"))
         .distinct()
+        .groupBy("_key")
+        .agg(F.count("_group").alias("_groups"))
     )
-    tested = tests.agg(F.count(F.when(F.col("_tested"), F.lit(1))).alias("tested")).scalar()
+    tested = facets.agg(F.count(F.when(F.col("_groups") == 2, F.lit(1))).alias("tested")).scalar()
     report = (
-        facets.join(tests, "_key", "left")
+        facets.drop("_groups").join(tests, "_key", "left")
         .withColumn("p_value", chi2_p(F.col("statistic")))
         .withColumn("corrected_p_value", F.least(F.col("p_value") * tested, F.lit(1.0)))
     )

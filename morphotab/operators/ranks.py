@@ -66,7 +66,7 @@ def _range_of(x: Column) -> Column:
             (at + step <= F.size("_splits")) & (F.try_element_at(F.col("_splits"), at + step) <= x), at + step
         ).otherwise(at),
     )
-    return F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(found)
+    return F.coalesce(found, F.lit(0))
 
 
 def ranked_values(
