@@ -55,14 +55,14 @@ def _frequent(x: np.ndarray, bins: np.ndarray) -> list[tuple[int, int]]:
     wanted[top] = np.arange(len(top), dtype=np.int32)
     rank = wanted[bins]
     at = np.flatnonzero(rank >= 0)
-    found = rank[at].astype(np.int64) << 40 | x[at].astype(np.int64) << 20 | x[at + 1]
-    codes, n = np.unique(found, return_counts=True)
-    best: dict[int, tuple[int, int]] = {}
-    for code, k in zip(codes.tolist(), n.tolist(), strict=True):
-        best[code >> 40] = max(best.get(code >> 40, (0, 0)), (k, code & (1 << 40) - 1))
+    rank = rank[at]
+    place = np.zeros(len(top), np.int64)
+    place[rank] = at  # some pair of each bin, nearly always its most frequent
+    same = (x[at] == x[place][rank]) & (x[at + 1] == x[place + 1][rank])
+    n = np.bincount(rank[same], minlength=len(top))
+    best = sorted(zip(n.tolist(), x[place].tolist(), x[place + 1].tolist(), strict=True), reverse=True)
     out, firsts, seconds = [], set(), set()
-    for k, code in sorted(best.values(), reverse=True):
-        a, b = code >> 20, code & (1 << 20) - 1
+    for k, a, b in best:
         if k >= LEAST and a != b and a not in seconds and b not in firsts:
             out.append((a, b))
             firsts.add(a)

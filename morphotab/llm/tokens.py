@@ -10,41 +10,77 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
-CACHE = 400_000  # words a worker remembers
+TOGETHER = 64
+CACHE = 400_000  # pieces in each of the two generations that a worker remembers
 #: Blanks and controls that libraries take for white space or not; texts with any of them are encoded in one piece.
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-_WITH_BLANKS = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A run of letters ends a piece where punctuation follows, else a piece ends at the next blank.
+_WITH_BLANKS = re.compile(rf"[ \n\t\r]*+[{_LETTERS}]++(?=[.,!?%&*#$|])|[ \n\t\r]*+[^ \n\t\r]++|[ \n\t\r]+")
+_WORDS = re.compile(rf"[{_LETTERS}]++(?=[.,!?%&*#$|])|[^ \n\t\r]+")
+_PLAIN = re.compile(rf"[{_LETTERS}]+").fullmatch
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
-    A pre-tokenizer never joins what stands before a blank with the blank, so a text's ids are those of its pieces: words
-    if blanks are dropped by the tokenizer, else words with the blanks before them.
+    Pre-tokenizers never join what stands before a blank with the blank, nor letters with punctuation behind them, so a
+    text's ids are those of its pieces: words, with the blanks before them unless the tokenizer drops blanks. Pieces that
+    the worker has not met lately are encoded some together, as one text, and told apart by the lengths of their tokens or by
+    the mark that a token at a word's end carries.
     """
 
     def __init__(self, path: str, blanks: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = _WITH_BLANKS.findall if blanks else str.split
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.blanks = blanks
+        vocabulary = self.plain.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte-level token has a character for each byte
+            self.sizes[i] = len(token) if blanks else token.endswith("</w>")
+        self.pieces = (_WITH_BLANKS if blanks else _WORDS).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that can stand side by side."""
+        groups = [pieces[at : at + TOGETHER] for at in range(0, len(pieces), TOGETHER)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.plain.encode_batch_fast([("" if self.blanks else " ").join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in group]) if self.blanks else np.arange(1, len(group) + 1)
+            cuts = np.searchsorted(ends, wanted)
+            if len(ids) and ends[-1] == wanted[-1] and (ends[cuts] == wanted).all():
+                raw, cuts = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += self._each(group)
+        return out
+
+    def _learn(self, wanted: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        new = wanted - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        rest = new - again
+        easy = [p for p in rest if (p[0] in " \n\t\r" and p[-1] not in " \n\t\r" if self.blanks else _PLAIN(p))]
+        self.known.update(zip(easy, self._together(easy), strict=True))
+        hard = list(rest.difference(easy))
+        self.known.update(zip(hard, self._each(hard), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if _ODD.search(t) else self.pieces(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set().union(*(p for p in cut if p)) - self.known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, self._encode(part), strict=True))
+        self._learn(set().union(*(p for p in cut if p)))
         known = self.known.__getitem__
-        whole = iter(self._encode([t for t, p in zip(texts, cut, strict=True) if p is None]))
+        whole = iter(self._each([t for t, p in zip(texts, cut, strict=True) if p is None]))
         return [next(whole) if p is None else b"".join(map(known, p)) for p in cut]
 
 
