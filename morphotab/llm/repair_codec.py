@@ -46,8 +46,10 @@ def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BINS)
 
 
-def _frequent(x: np.ndarray, bins: np.ndarray) -> list[tuple[int, int]]:
-    """The most frequent pairs of neighbours, at most one for each bin, none of which begins with the end of another."""
+def _frequent(x: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """The most frequent pairs of neighbours, at most one for each bin, none of which begins with the end of another; the
+    places where they stand, and the number of the pair at each."""
+    bins = _bins(x[:-1], x[1:])
     counts = np.bincount(bins, minlength=1 << BINS)
     top = np.flatnonzero(counts >= LEAST)
     top = top[np.argsort(-counts[top], kind="stable")][: 2 * PAIRS]
@@ -58,16 +60,20 @@ def _frequent(x: np.ndarray, bins: np.ndarray) -> list[tuple[int, int]]:
     rank = rank[at]
     place = np.zeros(len(top), np.int64)
     place[rank] = at  # some pair of each bin, nearly always its most frequent
-    same = (x[at] == x[place][rank]) & (x[at + 1] == x[place + 1][rank])
-    n = np.bincount(rank[same], minlength=len(top))
-    best = sorted(zip(n.tolist(), x[place].tolist(), x[place + 1].tolist(), strict=True), reverse=True)
+    left, right = x[place], x[place + 1]
+    same = (x[at] == left[rank]) & (x[at + 1] == right[rank])
+    at, rank = at[same], rank[same]
+    n = np.bincount(rank, minlength=len(top))
     out, firsts, seconds = [], set(), set()
-    for k, a, b in best:
-        if k >= LEAST and a != b and a not in seconds and b not in firsts:
+    number = np.full(len(top), -1, np.int32)
+    for k, a, b, j in sorted(zip(n.tolist(), left.tolist(), right.tolist(), range(len(top)), strict=True), reverse=True):
+        if k >= LEAST and a != b and a not in seconds and b not in firsts and len(out) < PAIRS:
+            number[j] = len(out)
             out.append((a, b))
             firsts.add(a)
             seconds.add(b)
-    return out[:PAIRS]
+    number = number[rank]
+    return out, at[number >= 0], number[number >= 0]
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -76,19 +82,10 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndar
     for _ in range(rounds):
         if len(x) < 2 or FIRST + len(rules) + PAIRS >= 1 << 20:
             break
-        bins = _bins(x[:-1], x[1:])
-        new = _frequent(x, bins)
+        new, at, number = _frequent(x)
         if not new:
             break
-        pairs = np.array(new, np.uint32)
-        rule = np.full(1 << BINS, -1, np.int32)
-        rule[_bins(pairs[:, 0], pairs[:, 1])] = np.arange(len(new), dtype=np.int32)
-        r = rule[bins]
-        at = np.flatnonzero(r >= 0)
-        r = r[at]
-        same = (x[at] == pairs[r, 0]) & (x[at + 1] == pairs[r, 1])
-        at, r = at[same], r[same]
-        x[at] = (FIRST + len(rules) + r).astype(np.uint32)
+        x[at] = (FIRST + len(rules) + number).astype(np.uint32)
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
         x = x[keep]

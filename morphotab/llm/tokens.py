@@ -65,23 +65,23 @@ class Encoder:
         return out
 
     def _learn(self, wanted: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        new = wanted - self.known.keys()
-        again = new & self.older.keys()
+        again = wanted & self.older.keys()
         self.known.update((p, self.older[p]) for p in again)
-        rest = new - again
+        rest = wanted - again
         easy = [p for p in rest if (p[0] in " \n\t\r" and p[-1] not in " \n\t\r" if self.blanks else _PLAIN(p))]
         self.known.update(zip(easy, self._together(easy), strict=True))
         hard = list(rest.difference(easy))
         self.known.update(zip(hard, self._each(hard), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        get = self.known.get
         cut = [None if _ODD.search(t) else self.pieces(t) for t in texts]
-        self._learn(set().union(*(p for p in cut if p)))
-        known = self.known.__getitem__
+        found = [None if p is None else list(map(get, p)) for p in cut]
+        self._learn({w for p, f in zip(cut, found, strict=True) if f and None in f for w, ids in zip(p, f, strict=True) if ids is None})
         whole = iter(self._each([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(known, p)) for p in cut]
+        return [next(whole) if f is None else b"".join(f if None not in f else map(get, p)) for p, f in zip(cut, found, strict=True)]
 
 
 def encoder(path: str, blanks: bool) -> Encoder:
