@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -77,16 +78,34 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         get = self.known.get
-        cut = [None if _ODD.search(t) else self.pieces(t) for t in texts]
-        found = [None if p is None else list(map(get, p)) for p in cut]
-        self._learn({w for p, f in zip(cut, found, strict=True) if f and None in f for w, ids in zip(p, f, strict=True) if ids is None})
-        whole = iter(self._each([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        return [next(whole) if f is None else b"".join(f if None not in f else map(get, p)) for p, f in zip(cut, found, strict=True)]
+        found: list[list[bytes | None] | None] = []
+        holes: list[list[tuple[int, str]]] = []  # where pieces of a text are not known yet
+        for text in texts:
+            if _ODD.search(text):
+                found.append(None)
+                holes.append([])
+                continue
+            pieces = self.pieces(text)
+            ids = list(map(get, pieces))
+            found.append(ids)
+            holes.append([(k, p) for k, (p, i) in enumerate(zip(pieces, ids, strict=True)) if i is None] if None in ids else [])
+        self._learn({p for h in holes for _, p in h})
+        whole = iter(self._each([t for t, ids in zip(texts, found, strict=True) if ids is None]))
+        out = []
+        for ids, hole in zip(found, holes, strict=True):
+            if ids is None:
+                out.append(next(whole))
+                continue
+            for k, p in hole:
+                ids[k] = get(p)
+            out.append(b"".join(ids))
+        return out
 
 
 def encoder(path: str, blanks: bool) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
     key = path, blanks
     if key not in _encoders:
+        gc.disable()  # millions of strings are kept here, and no cycles
         _encoders[key] = Encoder(path, blanks)
     return _encoders[key]
