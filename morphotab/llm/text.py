@@ -48,8 +48,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id is not among `ids` (one column doc_id); rows without doc_id stay."""
-    return docs.join(ids, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of `docs`, all columns, whose doc_id is not among `ids` (one column doc_id); rows without doc_id stay.
+
+    The ids may be a fixed share of the rows, so they are not broadcast at any size.
+    """
+    return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def remainder(doc_id: Column, n: int) -> Column:
