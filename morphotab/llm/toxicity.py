@@ -85,7 +85,7 @@ def toxicity_weights(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, e
     one = T.stored(one, "labels")
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     one = one.where(dealt < int((1 << 30) * min(1.0, sample / max(1, one.count()))))
-    chosen = docs.select("doc_id", "text").join(one, "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")  # about `sample` rows of 12 bytes
     again = chosen.select("text", "label", dealt.alias("dealt"), F.explode(F.array(*(F.lit(k) for k in range(epochs)))).alias("epoch"))
     return again.repartition(1).sortWithinPartitions("epoch", "dealt", "text").select("text", "label").mapInArrow(_fit, "at long, weight double")
 
