@@ -29,6 +29,10 @@ HEADLINE = [
     "avg_rank",
     "profile_numeric",
     "bin_thresholds",
+    "boxplot_summary_group",
+    "outliers",
+    "coalesce_rows",
+    "read_stat_tree",
 ]
 
 
@@ -57,19 +61,20 @@ def main() -> None:
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
     times = {"measurement_view": timed(lambda: measurements(spark, sf_dir))}
+    again = {}
     for name in HEADLINE:
-        df = QUERIES[name](spark, sf_dir)
 
-        def run(df=df) -> None:
-            df.write.format("noop").mode("overwrite").save()
+        def run(name=name) -> None:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
-        # the first run compiles the generated code; the better of two is reported
-        times[name] = min(timed(run), timed(run))
+        # building the query counts; the first run also compiles the generated code
+        times[name], again[name] = timed(run), timed(run)
     out = {
         "metric": "total_query_time",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "second_run": again,
         "sf": os.path.basename(sf_dir.rstrip("/")),
     }
     print(json.dumps(out))

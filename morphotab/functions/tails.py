@@ -45,8 +45,8 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
         c = guard(1.0 + odd / c)
         h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    return math.nan  # not converged
 
 
 def _log_gamma_ratio(a: float, b: float) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from morphotab.functions.columns import categorical_columns, col, cols, numeric_columns
 from morphotab.functions.nulls import is_finite
-from morphotab.schema import CHANNEL
+from morphotab.schema import CHANNEL, OBJECT_ID
 
 
 def level_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -91,8 +91,6 @@ def dedup_group_values(df: DataFrame, columns: Sequence[str] | None = None) -> D
     Used for variables that repeat the same value on every object of a group. The pick is
     an aggregation, so groups shrink before they are shuffled.
     """
-    from morphotab.schema import OBJECT_ID
-
     keys = list(columns or categorical_columns(df))
     rest = [c for c in df.columns if c not in keys]
     order = [c for c in [OBJECT_ID] if c in rest]

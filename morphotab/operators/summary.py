@@ -11,6 +11,7 @@ from morphotab.functions.columns import categorical_columns, col, key_struct, nu
 from morphotab.functions.nulls import finite, safe_ln
 from morphotab.functions.skew import join_facets
 from morphotab.operators.ranks import SAMPLE_EVERY, key_columns, quantiles
+from morphotab.operators.select import dedup_group_values, lift_zeros
 
 # The family of a numeric column by its name, first match wins.
 # (label, pattern, whether names that begin with Ratio or Group are left to later families)
@@ -80,6 +81,11 @@ def profile_categorical(
     )
 
 
+def boxplot_summary_group(df: DataFrame, value: str, fill: str, split: str, **how) -> DataFrame:
+    """Box summary of a variable that repeats its group's value on every object: each group counts once, zeros are lifted."""
+    return boxplot_summary(lift_zeros(dedup_group_values(df), value), value, fill, split, **how)
+
+
 def boxplot_summary(
     df: DataFrame,
     value: str,

@@ -403,6 +403,27 @@ SELECT object, genotype, round(lower, 6) AS lower, round(middle, 6) AS middle, r
        round(middle + 1.58 * (upper - lower) / sqrt(n), 6) AS notch_high, n
 FROM q JOIN b USING (object, genotype)
 """)
+ORACLES["boxplot_summary_group"] = _on_derived(f"""
+SELECT * FROM (
+WITH g0 AS (SELECT object, genotype, group_volume AS x FROM v QUALIFY {_FIRST_ROW}),
+g AS (SELECT object, genotype, CASE WHEN x = 0 THEN (SELECT min(x) FROM g0 WHERE x > 0) ELSE x END AS x FROM g0 WHERE x IS NOT NULL),
+q AS (
+  SELECT object, genotype, quantile_cont(x, 0.25) AS lower, quantile_cont(x, 0.5) AS middle,
+         quantile_cont(x, 0.75) AS upper, avg(x) AS mean, count(x) AS n
+  FROM g GROUP BY object, genotype
+),
+b AS (
+  SELECT q.object, q.genotype, min(x) FILTER (WHERE x >= lower - 1.5 * (upper - lower)) AS whisker_low,
+         max(x) FILTER (WHERE x <= upper + 1.5 * (upper - lower)) AS whisker_high
+  FROM g JOIN q ON g.object = q.object AND g.genotype = q.genotype GROUP BY q.object, q.genotype
+)
+SELECT object, genotype, round(lower, 6) AS lower, round(middle, 6) AS middle, round(mean, 6) AS mean,
+       round(upper, 6) AS upper, round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high,
+       round(middle - 1.58 * (upper - lower) / sqrt(n), 6) AS notch_low,
+       round(middle + 1.58 * (upper - lower) / sqrt(n), 6) AS notch_high, n
+FROM q JOIN b USING (object, genotype))
+""")
+ORACLES["sample_points"] = with_view(f"SELECT {KEYS}, {ROUNDED} FROM m WHERE substr(md5(concat_ws('|', {KEYS})), 1, 8) < '4ccccccc'")
 _FENCES = """
 , s AS (SELECT volume AS x, row_number() OVER (ORDER BY volume) AS r, count(*) OVER () AS n
         FROM m WHERE volume IS NOT NULL),

@@ -408,7 +408,7 @@ def bin_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bins.sample_points(measurements(spark, sf_dir), S.KEYS)
+    return bins.sample_points(measurements(spark, sf_dir), S.KEYS, 0.3)
 
 
 # -- profiles and tests ------------------------------------------------------------------------
@@ -431,6 +431,12 @@ def boxplot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.boxplot_summary(measurements(spark, sf_dir), S.INTENSITY_MEAN, S.GENOTYPE, S.OBJECT, digits=6)
 
 
+@query
+def boxplot_summary_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = derive(measurements(spark, sf_dir), ["Group Volume"])
+    return summary.boxplot_summary_group(full, "Group Volume", S.GENOTYPE, S.OBJECT, digits=6)
+
+
 query(lambda spark, sf_dir: outliers.outliers(measurements(spark, sf_dir), S.VOLUME), "outliers")
 
 
@@ -523,6 +529,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalise to the nucleus, relate groups to it, and summarise per genotype and object."""
     wanted = [SUM_PER_REF, "Group Intensity Sum", named("Group Intensity Sum Relative to {ref}", REF)]
     full = derive(measurements(spark, sf_dir), wanted)
-    return snake_case(summary.boxplot_summary(full, wanted[-1], S.GENOTYPE, S.OBJECT))
+    return snake_case(summary.boxplot_summary_group(full, wanted[-1], S.GENOTYPE, S.OBJECT))
 
 

@@ -73,7 +73,7 @@ def _fields(line: Column, width: int) -> Column:
 def _text(spark: SparkSession, root: str, whole: bool) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     rows = _metadata(reader.text(root, wholetext=whole))
-    return skip_listed_files(skip_small_files(rows))
+    return skip_listed_files(rows)
 
 
 def _small_files(spark: SparkSession, root: str) -> DataFrame:

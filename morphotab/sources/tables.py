@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ def table_schema(header: Sequence[str], text_columns: Sequence[str] = ()) -> T.S
 
 def import_table(df: DataFrame) -> DataFrame:
     """Bring a table into shape: labels as strings, numbers finite, 'NA' for no channel, keys first, no doubles."""
-    named = [c for c in df.columns if c.strip() and not c.startswith("_c")]
+    named = [c for c in df.columns if c.strip() and not re.fullmatch(r"_c\d+", c)]
     df = df.select(*cols(named))
     for name in STRING_COLUMNS:
         if name in df.columns:
@@ -37,15 +38,17 @@ def import_table(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, text_columns: Sequence[str] = ()) -> DataFrame:
-    """Read measurement CSV files with a common header; column names are kept as they are written."""
-    header = spark.read.option("header", True).csv(path).columns
-    return import_table(
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .option("nullValue", "NA")
-        .schema(table_schema(header, text_columns))
-        .csv(path)
-    )
+    """Read measurement CSV files with a common header; column names are kept as they are written.
+
+    A column is numeric if all its values are numbers, else text; keys, labels and `text_columns` are always text.
+    """
+    raw = spark.read.option("header", True).option("nullValue", "NA").csv(path)
+    open_names = [c for c in raw.columns if c not in {*STRING_COLUMNS, *text_columns}]
+    bad = [F.max(col(c).isNotNull() & col(c).try_cast("double").isNull()).alias(str(k)) for k, c in enumerate(open_names)]
+    found = raw.agg(*bad).first() if bad else ()
+    texts = [*text_columns, *(c for c, is_text in zip(open_names, found) if is_text)]
+    kinds = {f.name: f.dataType for f in table_schema(raw.columns, texts)}
+    return import_table(raw.select(*[col(c).try_cast(kinds[c]).alias(c) for c in raw.columns]))
 
 
 def write_table(df: DataFrame, path: str, file_format: str = "csv", partition_by: Sequence[str] = ()) -> None:
