@@ -91,7 +91,10 @@ def links(prints: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
     inside = T.stored(rows.join(crowded, at), "members")
     few = inside.where(F.col("n") <= crowd)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = few.select(*at, F.col("fp").alias("a")).join(few.select(*at, F.col("fp").alias("b")), at).where((F.col("a") < F.col("b")) & near)
+    # a pair that shares several tables is linked in the first of them only
+    kept = F.array(*(F.lit(m) for m in masks(radius)))
+    sooner = F.exists(F.slice(kept, F.lit(1), F.col("tab")), lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) == 0)
+    pairs = few.select(*at, F.col("fp").alias("a")).join(few.select(*at, F.col("fp").alias("b")), at).where((F.col("a") < F.col("b")) & near & ~sooner)
     return pairs.select("k", "a", "b").union(_through_balls(inside.where(F.col("n") > crowd).select("k", "fp").distinct(), radius)).distinct()
 
 
