@@ -15,6 +15,7 @@ component's id unless its whole component has none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ def fingerprint(text: bytes, width: int, prints: int = 1) -> list[int]:
         h = np.array([digest(joined[i:j], SEED) for i, j in zip(a[at : at + STEP], b[at : at + STEP], strict=True)], np.uint64)
         for k in range(prints):
             h = T.mix(h + np.uint64(k)) if k else h
-            votes[k] += np.unpackbits(h.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+            votes[k] += np.unpackbits(h.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.uint16)  # STEP ones at most
     return np.packbits(2 * votes > n, axis=1).view(np.int64)[:, 0].tolist()
 
 
@@ -65,10 +66,10 @@ def fingerprints(docs: DataFrame, width: int = 4, prints: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fps array<long>")
 
 
-def masks(radius: int) -> list[int]:
-    """The kept bits of each of the 2 ** (radius + 1) - 1 tables, as signed longs."""
+def masks(radius: int, bits: int = BITS) -> list[int]:
+    """The kept bits of each of the 2 ** (radius + 1) - 1 tables over the lowest `bits`, as signed longs."""
     top = 1 << (radius + 1)
-    vectors = [1 + i % (top - 1) for i in range(BITS)]
+    vectors = [1 + i % (top - 1) for i in range(bits)]
     out = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, top)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in out]
 
@@ -82,9 +83,10 @@ def flips(t: int) -> list[int]:
     return [x - (1 << BITS) if x >> (BITS - 1) else x for x in sorted(found)]
 
 
-def links(prints: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, crowd: int = CROWD, bits: int = BITS) -> DataFrame:
     """k, a, b: links a < b between distinct fingerprints (k, fp) that connect all pairs of a k within `radius` bits."""
-    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks(radius)))))
+    tables = masks(radius, bits)
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(tables))))
     rows = prints.select("k", "fp", each.alias("b")).select("k", "fp", "b.tab", "b.key")
     at = ["k", "tab", "key"]
     crowded = T.stored(rows.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -92,7 +94,7 @@ def links(prints: DataFrame, radius: int = 4, crowd: int = CROWD) -> DataFrame:
     few = inside.where(F.col("n") <= crowd)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     # a pair that shares several tables is linked in the first of them only
-    kept = F.array(*(F.lit(m) for m in masks(radius)))
+    kept = F.array(*(F.lit(m) for m in tables))
     sooner = F.exists(F.slice(kept, F.lit(1), F.col("tab")), lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) == 0)
     pairs = few.select(*at, F.col("fp").alias("a")).join(few.select(*at, F.col("fp").alias("b")), at).where((F.col("a") < F.col("b")) & near & ~sooner)
     return pairs.select("k", "a", "b").union(_through_balls(inside.where(F.col("n") > crowd).select("k", "fp").distinct(), radius)).distinct()
@@ -129,33 +131,53 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, crowd: int = CROWD, prints: int = 1) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = 4, radius: int = 4, crowd: int = CROWD, prints: int = 1, bits: int = BITS, similarity: float | None = None
+) -> DataFrame:
     """doc_id, fingerprint (hexadecimal; of the first, if several), component_id: the smallest doc_id that links reach.
 
-    With several independent fingerprints, texts are linked if any of them differs in at most `radius` bits.
+    With several independent fingerprints, texts are linked if the lowest `bits` of any of them differ in at most `radius`
+    bits. A `similarity` (Jaccard, of shingles) then keeps the links whose fingerprints differ as a whole in no larger share
+    of bits than two sets that similar do.
     """
     own = T.stored(fingerprints(docs, width, prints), "fingerprints")
     nameless = F.lit(NAMELESS) + F.call_function("shiftrightunsigned", F.xxhash64("fps"), F.lit(3))
     nodes = T.stored(own.groupBy("fps").agg(F.coalesce(F.min("doc_id"), nameless).alias("node")), "nodes")
-    each = nodes.select("node", F.posexplode("fps").alias("k", "fp"))
+    low = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1 if bits < BITS else -1)).alias("fp")
+    each = nodes.select("node", F.posexplode("fps").alias("k", "fp")).select("node", "k", low)
     named = T.stored(each.groupBy("k", "fp").agg(F.min("node").alias("u")), "prints")
-    found = links(named.select("k", "fp"), radius, crowd)
+    found = links(named.select("k", "fp"), radius, crowd, bits)
     ends = found.join(named.withColumnRenamed("fp", "a"), ["k", "a"]).join(named.select("k", F.col("fp").alias("b"), F.col("u").alias("v")), ["k", "b"])
     edges = ends.select("u", "v")
     if prints > 1:  # one fingerprint may be shared by several nodes
         edges = edges.union(each.join(named, ["k", "fp"]).where("node <> u").select("u", F.col("node").alias("v")))
+    if similarity is not None:
+        edges = _alike(edges.distinct(), nodes, similarity, prints)
     label = components(edges).withColumnRenamed("node", "at")
     done = nodes.join(label, F.col("node") == F.col("at"), "left").select("fps", F.coalesce("label", "node").alias("id"))
     joined = own.join(done, "fps")
     return joined.select("doc_id", hexadecimal(F.col("fps")[0]).alias("fingerprint"), F.when(F.col("id") < NAMELESS, F.col("id")).alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4, prints: int = 6) -> DataFrame:
+def differing_share(similarity: float) -> float:
+    """Share of SimHash bits in which sets of equal size and this Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _alike(edges: DataFrame, nodes: DataFrame, similarity: float, prints: int) -> DataFrame:
+    """The edges (u, v) whose nodes' fingerprints differ in few enough bits, all prints together."""
+    both = edges.join(nodes.select(F.col("node").alias("u"), F.col("fps").alias("p")), "u").join(nodes.select(F.col("node").alias("v"), F.col("fps").alias("q")), "v")
+    differing = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return both.where(differing <= int(differing_share(similarity) * BITS * prints)).select("u", "v")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4, prints: int = 8, bits: int = 48, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that carry the smallest doc_id of their group of near copies, each such doc_id once.
 
-    Rows without a doc_id stay, but for those whose group has a member with one.
+    The tables keep about half of `bits`, so `bits` should stay above twice the binary logarithm of the number of different
+    texts. Rows without a doc_id stay, but for those whose group has a member with one.
     """
-    found = near_duplicates(docs, width, radius, prints=prints).select("doc_id", "component_id")
+    found = near_duplicates(docs, width, radius, prints=prints, bits=bits, similarity=similarity).select("doc_id", "component_id")
     gone = T.stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return T.without(docs, gone)
 

@@ -268,11 +268,12 @@ def test_near_duplicates(spark, docs, rows, empty, crowd):
     assert covering_dedup.near_duplicates(empty).count() == 0
 
 
-def test_masks_cover_every_difference():
-    tables = [m & (1 << 64) - 1 for m in covering_dedup.masks(4)]
+@pytest.mark.parametrize("bits", [64, 48])
+def test_masks_cover_every_difference(bits):
+    tables = [m & (1 << 64) - 1 for m in covering_dedup.masks(4, bits)]
     rng = np.random.default_rng(2)
     for _ in range(3000):
-        d = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        d = sum(1 << int(b) for b in rng.choice(bits, 4, replace=False))
         assert any(not d & m for m in tables)
 
 
@@ -282,6 +283,24 @@ def test_deduplicated(docs):
     assert kept.columns == docs.columns and 0 in ids and not {127, 128} & set(ids)
 
 
+def test_deduplicated_keeps_what_is_less_similar(spark):
+    """Pairs of 300 words; with e edited words the five-word shingles have a Jaccard similarity of (296 - 5e) / (296 + 5e)."""
+    rng = np.random.default_rng(11)
+    found = {}
+    for edits in (4, 20):
+        rows = []
+        for i in range(60):
+            words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+            copy = list(words)
+            for k in range(edits):
+                copy[7 + k * 14] = f"e{i}x{k}"
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        ids = {r.doc_id for r in covering_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(2 * i in ids for i in range(60))
+        found[edits] = sum(2 * i + 1 not in ids for i in range(60))
+    assert found[4] >= 57 and found[20] == 0  # similarities of 0.87 and 0.49
+
+
 def test_contamination(spark, docs, rows, empty):
     rng = np.random.default_rng(4)
     item = " ".join(f"q{i}" for i in range(30))
