@@ -86,16 +86,18 @@ def flips(t: int) -> list[int]:
 def links(prints: DataFrame, radius: int = 4, crowd: int = CROWD, bits: int = BITS) -> DataFrame:
     """k, a, b: links a < b between distinct fingerprints (k, fp) that connect all pairs of a k within `radius` bits."""
     tables = masks(radius, bits)
-    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(tables))))
-    rows = prints.select("k", "fp", each.alias("b")).select("k", "fp", "b.tab", "b.key")
-    at = ["k", "tab", "key"]
-    crowded = T.stored(rows.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    inside = T.stored(rows.join(crowded, at), "members")
+    kept = F.array(*(F.lit(m) for m in tables))
+    # a bucket is known by one hash; rows of other tables that a collision brings into it are told apart below
+    bucket = lambda t: F.xxhash64("k", F.lit(t), F.col("fp").bitwiseAND(F.lit(tables[t])))
+    each = F.explode(F.array(*(F.struct(bucket(t).alias("bucket"), F.lit(t).cast("byte").alias("tab")) for t in range(len(tables)))))
+    rows = prints.select(F.col("k").cast("short").alias("k"), "fp", each.alias("b")).select("b.bucket", "b.tab", "k", "fp")
+    crowded = T.stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    inside = T.stored(rows.join(crowded, "bucket"), "members")
     few = inside.where(F.col("n") <= crowd)
+    at = ["bucket", "tab", "k"]
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     # a pair that shares several tables is linked in the first of them only
-    kept = F.array(*(F.lit(m) for m in tables))
-    sooner = F.exists(F.slice(kept, F.lit(1), F.col("tab")), lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) == 0)
+    sooner = F.exists(F.slice(kept, F.lit(1), F.col("tab").cast("int")), lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) == 0)
     pairs = few.select(*at, F.col("fp").alias("a")).join(few.select(*at, F.col("fp").alias("b")), at).where((F.col("a") < F.col("b")) & near & ~sooner)
     return pairs.select("k", "a", "b").union(_through_balls(inside.where(F.col("n") > crowd).select("k", "fp").distinct(), radius)).distinct()
 
@@ -171,7 +173,7 @@ def _alike(edges: DataFrame, nodes: DataFrame, similarity: float, prints: int) -
     return both.where(differing <= int(differing_share(similarity) * BITS * prints)).select("u", "v")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4, prints: int = 8, bits: int = 48, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4, prints: int = 7, bits: int = 48, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that carry the smallest doc_id of their group of near copies, each such doc_id once.
 
     The tables keep about half of `bits`, so `bits` should stay above twice the binary logarithm of the number of different
