@@ -35,9 +35,5 @@ def strict_avg(x: Column) -> Column:
     return F.when(complete(x), F.avg(x))
 
 
-def safe_div(x: Column, y: Column) -> Column:
-    return finite(F.try_divide(x, y))
-
-
 def safe_ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))

@@ -136,8 +136,9 @@ def harmonise(
     Rows of intensity files carry a channel; rows of the other files describe the object and
     have none. One aggregation collapses the rows of an object and channel, pivots included.
     A window over the few rows left of an object then gives its object-level values to every
-    channel; a channel never borrows another channel's value. Objects without any channel are
-    dropped.
+    channel; a channel never borrows another channel's value. Object-level rows without a time
+    hold for all times of the object that have no value of their own. Objects without any
+    channel are dropped.
     """
     if SURPASS_OBJECT in rows.columns:
         rows = rows.withColumnRenamed(SURPASS_OBJECT, S.OBJECT)
@@ -148,8 +149,9 @@ def harmonise(
     pivots: dict[str, Column] = {}
     statistics = [s for s in S.SURFACE_STATISTICS if s in rows.columns]
     if SURFACES in rows.columns and statistics:
+        names = surfaces if surfaces is not None else level_names(rows, SURFACES)
         for s in statistics:
-            for n in surfaces if surfaces is not None else level_names(rows, SURFACES):
+            for n in names:
                 pivots[surface_column(s, n)] = F.when(col(SURFACES) == n, col(s))
     if SPOTS in rows.columns and S.SPOT_STATISTIC in rows.columns:
         for n in spots if spots is not None else level_names(rows, SPOTS):
@@ -166,4 +168,8 @@ def harmonise(
     spread = {
         c: F.coalesce(col(c), F.max(F.when(no_channel, col(c))).over(of_object)) for c in picks
     }
+    if S.TIME in keys:
+        all_times = Window.partitionBy(*cols([k for k in object_keys if k != S.TIME]))
+        timeless = no_channel & col(S.TIME).isNull()
+        spread = {c: F.coalesce(v, F.max(F.when(timeless, col(c))).over(all_times)) for c, v in spread.items()}
     return leading_order(rename_neighbour_distances(collapsed.withColumns(spread).where(~no_channel)))

@@ -79,6 +79,21 @@ def test_harmonise(spark):
     assert out.columns[:7] == S.KEYS
 
 
+def test_harmonise_spreads_rows_without_time(spark):
+    key = lambda channel, n="1": ("WT", "light", "A", "Surface", "CC", channel, n)
+    rows = [
+        (*key("1"), "1", 10.0, None, None),
+        (*key("1"), "2", 20.0, None, None),
+        (*key(None), None, None, 7.0, 1.0),
+        (*key(None), "2", None, None, 3.0),
+        (*key("1", "2"), "1", 30.0, None, None),
+    ]
+    types = KEY_TYPES | {"Time": "s", "Intensity Sum": "d", "Volume": "d", "Area": "d"}
+    out = clean.harmonise(frame(spark, types, rows)).collect()
+    got = {(r["Object ID"], r["Time"]): (r["Intensity Sum"], r["Volume"], r["Area"]) for r in out}
+    assert got == {("1", "1"): (10.0, 7.0, 1.0), ("1", "2"): (20.0, 7.0, 3.0), ("2", "1"): (30.0, None, None)}
+
+
 def test_harmonise_ignores_row_order(spark):
     df = harmonise_rows(spark)
     a = sorted(map(str, clean.harmonise(df, order_by="p").collect()))
