@@ -9,6 +9,11 @@ fuller buckets are linked without pairs: two fingerprints differ in at most 2 *
 flips of both, and all that share such a value are linked with its smallest one; at most 2081 distinct fingerprints (for t = 2)
 can share one value, whatever the input. Links become components by alternating stars on tables in the shared folder.
 
+With a wanted `similarity` the texts themselves decide: two are linked if the Jaccard similarity of their sets of word shingles is
+at least that. Covering tables would need about a thousand rows a text to reach such pairs (they differ in 15 % of the bits
+at 0.8), so candidates come from bands of minima of the hashed shingles, pairs whose SimHashes differ by far too much are left out, and the
+sets of the others are compared.
+
 Null and empty texts have fingerprint zero. Rows with equal doc_id are kept as they are; a null doc_id never becomes a
 component's id unless its whole component has none.
 """
@@ -16,7 +21,7 @@ component's id unless its whole component has none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +35,66 @@ BITS = 64
 CROWD = 256
 SEED = 42
 STEP = 1 << 15  # shingles hashed at once
+ROWS = 5  # minima in a band
+MISSED = 1e-4  # share of pairs at the wanted similarity that no band finds
+SLACK = 8  # standard deviations of differing bits before a pair is left out by its SimHashes
 NAMELESS = 1 << 62  # numbers from here on stand for texts without a doc_id
 
 
-def fingerprint(text: bytes, width: int, prints: int = 1) -> list[int]:
-    """SimHashes of the lower-cased text's word shingles, repeats included: of their XXH64, then of remixed hashes."""
+def _shingles(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the lower-cased text's word shingles, repeats included, STEP at a time."""
     words = text.lower().split()
     if not words:
-        return [0] * prints
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     a, b = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros((prints, BITS), np.int64)
     for at in range(0, n, STEP):
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(a[at : at + STEP], b[at : at + STEP], strict=True)], np.uint64)
+        yield np.array([digest(joined[i:j], SEED) for i, j in zip(a[at : at + STEP], b[at : at + STEP], strict=True)], np.uint64)
+
+
+def _votes(parts: Iterable[np.ndarray], prints: int) -> list[int]:
+    votes, n = np.zeros((prints, BITS), np.int64), 0
+    for h in parts:
+        n += len(h)
         for k in range(prints):
             h = T.mix(h + np.uint64(k)) if k else h
             votes[k] += np.unpackbits(h.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.uint16)  # STEP ones at most
     return np.packbits(2 * votes > n, axis=1).view(np.int64)[:, 0].tolist()
 
 
+def fingerprint(text: bytes, width: int, prints: int = 1) -> list[int]:
+    """SimHashes of the lower-cased text's word shingles, repeats included: of their XXH64, then of remixed hashes."""
+    return _votes(_shingles(text, width), prints)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different hashed shingles of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, width)]))
+
+
+def n_bands(similarity: float) -> int:
+    """Bands of ROWS minima of which sets that similar share none with a probability below MISSED."""
+    return math.ceil(math.log(MISSED) / math.log1p(-(similarity**ROWS))) if similarity < 1 else 1
+
+
+def bands(shingles: np.ndarray, n: int) -> list[int]:
+    """One hash for each band of ROWS minima of the shingles under odd multipliers; none for an empty set."""
+    if not len(shingles):
+        return []
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, n * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(n * ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 1 << 10):
+        np.minimum(least, (shingles[at : at + (1 << 10), None] * factors).min(0), out=least)
+    out = np.arange(n, dtype=np.uint64)
+    for column in least.reshape(n, ROWS).T:
+        out = T.mix(out + T.mix(column))
+    return out.view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, width: int = 4, prints: int = 1) -> DataFrame:
     """doc_id and fps, the signed fingerprints."""
 
@@ -139,9 +181,11 @@ def near_duplicates(
     """doc_id, fingerprint (hexadecimal; of the first, if several), component_id: the smallest doc_id that links reach.
 
     With several independent fingerprints, texts are linked if the lowest `bits` of any of them differ in at most `radius`
-    bits. A `similarity` (Jaccard, of shingles) then keeps the links whose fingerprints differ as a whole in no larger share
-    of bits than two sets that similar do.
+    bits. With a `similarity`, texts are linked if the Jaccard similarity of their shingles is at least that; the fingerprints
+    are then those of the different shingles, and `radius`, `crowd` and `bits` are of no account.
     """
+    if similarity is not None:
+        return similar_texts(docs, width, similarity, prints)
     own = T.stored(fingerprints(docs, width, prints), "fingerprints")
     nameless = F.lit(NAMELESS) + F.call_function("shiftrightunsigned", F.xxhash64("fps"), F.lit(3))
     nodes = T.stored(own.groupBy("fps").agg(F.coalesce(F.min("doc_id"), nameless).alias("node")), "nodes")
@@ -153,8 +197,6 @@ def near_duplicates(
     edges = ends.select("u", "v")
     if prints > 1:  # one fingerprint may be shared by several nodes
         edges = edges.union(each.join(named, ["k", "fp"]).where("node <> u").select("u", F.col("node").alias("v")))
-    if similarity is not None:
-        edges = _alike(edges.distinct(), nodes, similarity, prints)
     label = components(edges).withColumnRenamed("node", "at")
     done = nodes.join(label, F.col("node") == F.col("at"), "left").select("fps", F.coalesce("label", "node").alias("id"))
     joined = own.join(done, "fps")
@@ -166,20 +208,85 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _alike(edges: DataFrame, nodes: DataFrame, similarity: float, prints: int) -> DataFrame:
-    """The edges (u, v) whose nodes' fingerprints differ in few enough bits, all prints together."""
-    both = edges.join(nodes.select(F.col("node").alias("u"), F.col("fps").alias("p")), "u").join(nodes.select(F.col("node").alias("v"), F.col("fps").alias("q")), "v")
-    differing = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    return both.where(differing <= int(differing_share(similarity) * BITS * prints)).select("u", "v")
+def sketches(docs: DataFrame, width: int, similarity: float, prints: int) -> DataFrame:
+    """doc_id, node (a hash of the set of shingles), fps (SimHashes of the set) and bands."""
+    n = n_bands(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches):
+            nodes, fps, found = [], [], []
+            for raw in _raw(batch):
+                h = shingle_set(raw, width)
+                nodes.append(_node(h))
+                fps.append(_votes((h[at : at + STEP] for at in range(0, len(h), STEP)), prints))
+                found.append(bands(h, n))
+            arrays = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "fps", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, fps array<long>, bands array<long>")
+
 
+def _raw(batch: pa.RecordBatch) -> Iterator[bytes]:
+    data, offsets = T.utf8(batch.column("text"))
+    raw = data.tobytes()
+    return (raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
 
-def deduplicated(docs: DataFrame, width: int = 5, radius: int = 4, prints: int = 7, bits: int = 48, similarity: float = 0.8) -> DataFrame:
+
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def _sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node and shingles of the nodes `wanted`, read again from one of the rows that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches):
+            sets = [shingle_set(raw, width) for raw in _raw(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    ids = own.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = rows.join(ids, "doc_id", "left_semi").union(rows.where("doc_id is null"))
+    sets = texts.select("text").mapInArrow(run, "node long, shingles array<long>").join(wanted, "node", "left_semi")
+    return T.stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float, prints: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles are similar enough; those with far too different SimHashes are not compared."""
+    bits, share = BITS * prints, differing_share(similarity)
+    most = bits * share + SLACK * math.sqrt(bits * share * (1 - share))
+    ends = lambda df, c: (df.select(F.col("node").alias("u"), F.col(c).alias("p")), df.select(F.col("node").alias("v"), F.col(c).alias("q")))
+    p, q = ends(nodes, "fps")
+    differing = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    near = pairs.join(p, "u").join(q, "v").where(differing <= most).select("u", "v")
+    p, q = ends(sets, "shingles")
+    common = F.size(F.array_intersect("p", "q"))
+    near = near.join(p, "u").join(q, "v").select("u", "v", common.alias("n"), (F.size("p") + F.size("q") - common).alias("all"))
+    return near.where(F.col("n") / F.col("all") >= similarity).select("u", "v")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = 8) -> DataFrame:
+    """As near_duplicates, with links between all texts found in a common band whose shingles have at least this Jaccard similarity."""
+    own = T.stored(sketches(docs, width, similarity, prints), "sketches")
+    nodes = T.stored(own.groupBy("node").agg(F.first("fps").alias("fps"), F.first("bands").alias("bands")), "nodes")
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = T.stored(rows.join(shared, "bucket"), "members")
+    sets = _sets(docs, own, members.select("node").distinct(), width)
+    pairs = members.withColumnRenamed("node", "u").join(members.withColumnRenamed("node", "v"), "bucket").where("u < v").select("u", "v").distinct()
+    edges = _alike(pairs, nodes, sets, similarity, prints)
+    label = components(edges)
+    done = T.stored(own.select("doc_id", "node", F.col("fps")[0].alias("fp")).join(label, "node", "left").select("doc_id", "fp", F.coalesce("label", "node").alias("label")), "labels")
+    least = done.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return done.join(least, "label").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, prints: int = 8, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that carry the smallest doc_id of their group of near copies, each such doc_id once.
 
-    The tables keep about half of `bits`, so `bits` should stay above twice the binary logarithm of the number of different
-    texts. Rows without a doc_id stay, but for those whose group has a member with one.
+    Rows without a doc_id stay, but for those whose group has a member with one.
     """
-    found = near_duplicates(docs, width, radius, prints=prints, bits=bits, similarity=similarity).select("doc_id", "component_id")
+    found = similar_texts(docs, width, similarity, prints).select("doc_id", "component_id")
     gone = T.stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return T.without(docs, gone)
 

@@ -301,6 +301,26 @@ def test_deduplicated_keeps_what_is_less_similar(spark):
     assert found[4] >= 57 and found[20] == 0  # similarities of 0.87 and 0.49
 
 
+def edited(rng, n, edits, tag):
+    """Two texts of n words; the copy has `edits` words changed that share no five-word shingle."""
+    words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    copy = list(words)
+    for k in range(edits):
+        copy[7 + k * 14] = f"e{tag}x{k}"
+    return " ".join(words), " ".join(copy)
+
+
+def test_deduplicated_links_pairs_from_the_similarity_on(spark):
+    """An edited word changes 5 shingles: similarities of 0.80 to 0.85, exactly 0.8 among them, and just below."""
+    rng = np.random.default_rng(12)
+    for words, edits, linked in ((49, 1, True), (94, 2, True), (139, 3, True), (300, 6, True), (139, 4, False), (300, 7, False)):
+        n = words - 4
+        assert ((n - 5 * edits) / (n + 5 * edits) >= 0.8) == linked
+        rows = [(2 * i + j, t) for i in range(40) for j, t in enumerate(edited(rng, words, edits, i))]
+        ids = {r.doc_id for r in covering_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert ids == {i for i in range(80) if not (linked and i % 2)}, (words, edits)
+
+
 def test_contamination(spark, docs, rows, empty):
     rng = np.random.default_rng(4)
     item = " ".join(f"q{i}" for i in range(30))
