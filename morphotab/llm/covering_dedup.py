@@ -265,16 +265,38 @@ def _alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: floa
     return near.where(F.col("n") / F.col("all") >= similarity).select("u", "v")
 
 
+def _apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes that share a bucket and are not yet connected, whatever the size of the bucket.
+
+    The members with a bucket's most frequent label are not compared with one another, so a large group costs its size times the rest.
+    """
+    known = members.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    groups = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+    mixed = T.stored(groups.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("bucket", "main"), "mixed")
+    known = T.stored(known.join(mixed, "bucket"), "known")
+    rest = known.where("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
+    every = known.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("m"))
+    both = rest.join(every, "bucket").where((F.col("lx") != F.col("ly")) & (F.col("m") | (F.col("x") < F.col("y"))))
+    return both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
 def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, prints: int = 8) -> DataFrame:
-    """As near_duplicates, with links between all texts found in a common band whose shingles have at least this Jaccard similarity."""
+    """As near_duplicates, with links between all texts found in a common band whose shingles have at least this Jaccard similarity.
+
+    Each bucket's members are compared with its smallest one first; then all pairs that this leaves unconnected are compared, so
+    that the groups are those of comparing all pairs.
+    """
     own = T.stored(sketches(docs, width, similarity, prints), "sketches")
     nodes = T.stored(own.groupBy("node").agg(F.first("fps").alias("fps"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = T.stored(rows.join(shared, "bucket"), "members")
     sets = _sets(docs, own, members.select("node").distinct(), width)
-    pairs = members.withColumnRenamed("node", "u").join(members.withColumnRenamed("node", "v"), "bucket").where("u < v").select("u", "v").distinct()
-    edges = _alike(pairs, nodes, sets, similarity, prints)
+    heads = members.groupBy("bucket").agg(F.min("node").alias("u"))
+    stars = members.join(heads, "bucket").where("u < node").select("u", F.col("node").alias("v")).distinct()
+    edges = T.stored(_alike(stars, nodes, sets, similarity, prints), "stars")
+    label = components(edges)
+    edges = edges.union(_alike(_apart(members, label), nodes, sets, similarity, prints))
     label = components(edges)
     done = T.stored(own.select("doc_id", "node", F.col("fps")[0].alias("fp")).join(label, "node", "left").select("doc_id", "fp", F.coalesce("label", "node").alias("label")), "labels")
     least = done.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -321,6 +321,35 @@ def test_deduplicated_links_pairs_from_the_similarity_on(spark):
         assert ids == {i for i in range(80) if not (linked and i % 2)}, (words, edits)
 
 
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_similar_texts_of_a_template_group(spark, crowd):
+    """Chains and pairs within one template: groups are those of all pairs, though few texts are alike to a bucket's smallest one."""
+    rng = np.random.default_rng(13)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 200)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.choice(28, int(rng.integers(1, 6)), replace=False):
+            words[int(k) * 7] = f"x{int(rng.integers(0, 2))}"
+        texts.append(" ".join(words))
+    for i in range(20):  # pairs alike to each other only
+        words = list(base)
+        for k in range(i % 4, 200, 9):
+            words[k] = f"p{i}x{k}"
+        words[100] = "other"
+        texts += [" ".join(words), " ".join(words[:3] + ["new"] + words[4:])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    order = rng.permutation(len(texts)).tolist()
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    out = covering_dedup.near_duplicates(df, width=5, crowd=crowd, prints=8, similarity=0.8).collect()
+    assert 1 < len(set(label)) < len(texts) and {r.doc_id: r.component_id for r in out} == dict(enumerate(label))
+
+
 def test_contamination(spark, docs, rows, empty):
     rng = np.random.default_rng(4)
     item = " ".join(f"q{i}" for i in range(30))
