@@ -4,7 +4,8 @@ Texts are lower-cased and cut into words of letters and digits. A seed is a fixe
 it ignores may differ. Windows of all documents and of all benchmark items are hashed under every seed and joined on
 the hash. Each hit names an alignment (document position minus item position), which is then verified word by word: an
 item is found in a document if at least `share` of the item's words stand at their places, or if some stretch of
-`stretch` words does so for at least 4 in 5. Items shorter than a window are hashed whole, so they are only found unchanged.
+`stretch` words does so for at least 4 in 5. Items shorter than a window are hashed whole, beside all windows of their lengths
+in the documents, so they are found anywhere, but only unchanged.
 
 The benchmark side is broadcast if its measured number of hashes is at most BROADCAST_ROWS; otherwise the same join runs by
 shuffle. Null or empty texts and items have no words and never match. Repeated rows count once for each doc_id and item_id.
@@ -12,13 +13,15 @@ shuffle. Null or empty texts and items have no words and never match. Repeated r
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphotab.llm import text as T
 
 SEEDS = ("110101011", "11100110001", "1101100001011")
-BROADCAST_ROWS = 4_000_000  # 16 bytes each
+BROADCAST_ROWS = 4_000_000  # 20 bytes each
 STRETCH = 20
 
 
@@ -26,23 +29,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _hashes(words: DataFrame, seeds: tuple[str, ...], *keep: str) -> DataFrame:
-    """One row for each window and seed: the columns to keep, `at` (first word) and `h`; `words` has the array `h0` of word hashes."""
+def _hashes(words: DataFrame, seeds: tuple[str, ...], short: Iterable[int], whole: bool, *keep: str) -> DataFrame:
+    """One row for each window and seed: the columns to keep, `at` (first word) and `h`; `words` has the array `h0` of word hashes.
+
+    So do windows of the `short` lengths without a gap; if `whole`, only those that are all of the text.
+    """
     n = F.size("h0")
 
-    def windows(k: int, seed: str) -> Column:
+    def windows(k: int, seed: str, fits: Column) -> Column:
         care = [i for i, c in enumerate(seed) if c == "1"]
         hashed = F.transform(
             F.sequence(F.lit(0), n - len(seed)),
             lambda at: F.struct(at.alias("at"), F.xxhash64(F.lit(k), *(F.get(F.col("h0"), at + i) for i in care)).alias("h")),
         )
-        return F.when(n >= len(seed), hashed).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+        return F.when(fits, hashed).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
-    shortest = min(map(len, seeds))
-    whole = F.when((n > 0) & (n < shortest), F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit(-1), F.col("h0")).alias("h"))))
-    whole = whole.otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
-    each = F.concat(*(windows(k, s) for k, s in enumerate(seeds)), whole)
-    return words.select(*keep, F.explode(each).alias("w")).select(*keep, "w.at", "w.h")
+    each = [windows(k, s, n >= len(s)) for k, s in enumerate(seeds)]
+    each += [windows(-k, "1" * k, n == k if whole else n >= k) for k in short]
+    return words.select(*keep, F.explode(F.concat(*each)).alias("w")).select(*keep, "w.at", "w.h")
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -52,13 +56,19 @@ def _hashed(df: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS, share: float = 0.6, stretch: int = STRETCH) -> DataFrame:
     """doc_id, item_id, doc_start (word), item_words, same_words: the best alignment of each item found in a document."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).distinct()
-    tests = T.stored(_hashes(_hashed(items), seeds, "item_id").distinct(), "seeds")
+    shortest = min(map(len, seeds))
+    items = items.withColumn("short", F.when(F.size("words") < shortest, F.size("words")))
+    tests = T.stored(_hashes(_hashed(items), seeds, range(1, shortest), True, "item_id", "short").distinct(), "seeds")
+    lengths = sorted(r.short for r in tests.where("short is not null").select("short").distinct().collect())
+    items = items.drop("short")
     if tests.count() <= BROADCAST_ROWS:
         tests = F.broadcast(tests)
     texts = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    # documents shorter than a window may still be a short item
-    train = _hashes(_hashed(texts), seeds, "doc_id")
-    hits = train.join(tests.withColumnRenamed("at", "item_at"), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+    train = _hashes(_hashed(texts), seeds, lengths, False, "doc_id")
+    hits = train.join(tests.withColumnRenamed("at", "item_at"), "h").select("doc_id", "item_id", "short", (F.col("at") - F.col("item_at")).alias("shift"))
+    # all places of a short item are alike, so its first one stands for them
+    one = F.when(F.col("short").isNull(), F.col("shift")).alias("place")
+    hits = hits.groupBy("doc_id", "item_id", "short", one).agg(F.min("shift").alias("shift")).select("doc_id", "item_id", "shift")
     hits = T.stored(hits.distinct(), "hits")
 
     found = docs.select("doc_id", "text").join(hits.select(F.col("doc_id").alias("hit_id")).distinct(), F.col("doc_id") == F.col("hit_id"), "left_semi")

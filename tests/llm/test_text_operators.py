@@ -367,6 +367,18 @@ def test_contamination(spark, docs, rows, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(df, bench.where("false")).count() == 0
 
 
+def test_contamination_by_short_items(spark):
+    """Items of 1 to 8 words are found unchanged anywhere in a document; the first place counts."""
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"s{k}x{i}" for i in range(k))) for k in (1, 2, 4, 7, 8)] + [(7, "seven other words of the same item"), (9, "not to be found here")]
+    docs = [(k, f"{sentence(rng, 100)} {t.upper()}! {sentence(rng, 40)} {t} {sentence(rng, 40)}") for k, t in items[:5]]
+    docs += [(20, f"{items[3][1]} {sentence(rng, 30)}"), (21, f"{sentence(rng, 30)} {items[4][1]}"), (22, sentence(rng, 30) + " " + items[3][1].replace("s7x3", "gap")), (23, items[5][1]), (24, sentence(rng, 5)), (25, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id, r.doc_start, r.item_words, r.same_words) for r in decontaminate.contamination(df, bench).collect()}
+    assert out == {(k, k, 100, k, k) for k in (1, 2, 4, 7, 8)} | {(20, 7, 0, 7, 7), (21, 8, 30, 8, 8), (23, 7, 0, 7, 7)}
+
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
