@@ -13,9 +13,12 @@ from morphotab.llm.curve_packing import packed
 from morphotab.llm.decontaminate import contamination
 from morphotab.llm.kd_shards import shards
 from morphotab.llm.kneser_ney import quality
+from morphotab.llm.line_dedup import without_repeated_lines
 from morphotab.llm.lm_scoring import lm_scores
+from morphotab.llm.periodic_runs import periodic_runs
 from morphotab.llm.quality_rules import quality_rules
 from morphotab.llm.repair_codec import round_trip
+from morphotab.llm.spelling_variants import spelling_variants
 from morphotab.llm.surrogates import pseudonymised
 from morphotab.llm.toxicity import toxicity_scores
 
@@ -66,6 +69,36 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), shortest=7, least=2, times=10, every=31)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_lines(_table(spark, sf_dir, "documents"), least=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth text (by the hash of its doc_id) repeats some of its words up to its end."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    some = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    some = some.select("doc_id", "text", "words", F.floor(F.col("h") / 10).alias("g"), F.size("words").alias("n")).withColumn("a", F.expr("g % n"))
+    some = some.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return some.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted(_table(spark, sf_dir, "documents")), least=24, times=3)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    # lengths stay below 2 ** 26 words, so quotients of different fractions differ as doubles too
+    ranked = F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("n")))
+    digests = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.array_max(ranked).alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    best = [(-F.col("b.s")).alias("start"), F.col("b.n").alias("length"), (-F.col("b.p")).alias("period"), F.expr("1000 * b.n div -b.p").alias("exponent_milli")]
+    return digests.select("doc_id", "n_runs", *best, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,7 +112,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_kneser_ney,
         op9_covering_simhash,
         op10_spaced_seeds,
+        op11_spelling_variants,
+        op12_line_dedup,
+        op13_periodic_runs,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_line_dedup": """
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+firsts AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first IS NOT NULL AND first <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN firsts USING (k) GROUP BY doc_id
+""",
+}

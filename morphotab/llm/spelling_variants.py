@@ -2,15 +2,15 @@
 
 A word's vector counts its code points by group (code point modulo GROUPS). One replaced code point moves one count from a
 group to another, one inserted adds one. The words of a part of the vocabulary are arranged in a trie, one level for each group;
-a depth-first search carries a block of words down, and each word may spend one surplus and then one deficit: a near word
-is longer by one (surplus spent), or as long (both or none spent). A surplus must be spent on an earlier level than the
+blocks of words go down to the leaves one block after the other, words of a block together level by level, and each word may spend
+one surplus and then one deficit: a near word is longer by one (surplus spent), or as long (both or none spent). A surplus must be spent on an earlier level than the
 deficit, and equal vectors are taken in the order of the words, so each pair is met from one side. Words at the leaves are looked up by
 their first and last halves, one of which the pair shares, and verified.
 
 The vocabulary is dealt by the first levels of its vectors, by more levels where a part would hold more than LEAF words or a
 thousandth of all words, whichever is more: at most a thousand parts are split on each level, so that plan is small at any
 size. Each word is sent to all parts that its budget reaches; a part that more than PIECE words come to is copied, and they are dealt over
-its copies. A task holds one part's words and one Arrow batch of searching words.
+its copies. A task holds one part's words and one block.
 
 Null texts have no words; a null doc_id counts as empty text before the colon of the deletion's hash; repeated rows are counted
 each; an empty table gives no rows. Other columns are not read. A run's length is bounded by a row's only.
@@ -19,13 +19,15 @@ each; an empty table gives no rows. Other columns are not read. A run's length i
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphotab.llm import text as T
@@ -35,27 +37,49 @@ DEPTHS = (2, 4, 8, 16)  # levels of the trie by which the vocabulary is dealt
 LEAF = 30_000
 PARTS = 1000
 PIECE = 200_000
+WIDTH = 31  # longer words are compared as strings
+COUNTED = 200_000  # different words that a task counts before it hands them on
+BLOCK = 50_000  # words that search a part together
+SMALL = 64
+STEP = 1 << 15  # pairs verified at once
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = "A-Za-zÀ-ÿ"
 
 
-def ascii_lower(c: Column) -> Column:
-    plain = F.octet_length(c) == F.char_length(c)
-    return F.when(plain, F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
-def occurrences(docs: DataFrame, shortest: int = 7, every: int = 0) -> DataFrame:
-    """word: one row for each run of letters, A-Z lower-cased, of at least `shortest` code points.
+def word_counts(docs: DataFrame, shortest: int = 7, every: int = 0) -> DataFrame:
+    """word, n of all runs of letters, A-Z lower-cased, of at least `shortest` code points.
 
     With `every`, a run whose crc32 of `<doc_id>:<run>` that number divides loses the code point at that hash modulo its length.
     """
-    runs = docs.select("doc_id", F.explode(F.expr(f"regexp_extract_all(text, '[{LETTERS}]{{{shortest},}}', 0)")).alias("run"))
-    runs = runs.select("doc_id", ascii_lower(F.col("run")).alias("run"))
-    if every:
-        h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
-        runs = runs.select("run", h.alias("h"))
-        cut = F.expr("concat(substring(run, 1, cast(h % char_length(run) as int)), substring(run, cast(h % char_length(run) as int) + 2))")
-        runs = runs.select(F.when(F.col("h") % every == 0, cut).otherwise(F.col("run")).alias("run"))
-    return runs.where(F.char_length("run") >= shortest).select(F.col("run").alias("word"))
+    letters = re.compile(f"[{LETTERS}]{{{max(1, shortest)},}}").findall
+
+    def shortened(run: str, seed: int) -> str:
+        h = zlib.crc32(run.encode(), seed)
+        return run[: h % len(run)] + run[h % len(run) + 1 :] if h % every == 0 else run
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def taken() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
+            return out
+
+        for batch in T.slices(batches):
+            data, offsets = T.utf8(batch.column("text"))
+            raw, cuts = data.tobytes().lower(), offsets.tolist()  # bytes: A-Z only
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
+                words = letters(raw[a:b].decode())
+                if every:
+                    seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+                    words = [w for w in (shortened(w, seed) for w in words) if len(w) >= shortest]
+                counts.update(words)
+            if len(counts) > COUNTED:
+                yield taken()
+        yield taken()
+
+    parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vectors(words: list[str]) -> np.ndarray:
@@ -120,51 +144,109 @@ class Trie:
     """The words of one part by the counts of their letter groups, one level for each group."""
 
     def __init__(self, words: list[str]):
-        self.words, vecs = words, vectors(words).astype(np.int64)
+        vecs = vectors(words).astype(np.int64)
+        self.words, self.codes = words, Codes(words)
         self.base = int(vecs.max()) + 3
         node = np.zeros(len(words), np.int64)
         self.children: list[np.ndarray] = []  # of a level: node * base + count, in order; a child's place is its node
+        self.tables: list[np.ndarray] = []  # the same as tables from key to child, if counts are small
+        nodes = 1
         for level in range(GROUPS):
             found, node = np.unique(node * self.base + vecs[:, level] + 1, return_inverse=True)
             self.children.append(found)
-        self.halves: dict[tuple[int, int, str], list[int]] = defaultdict(list)
-        for k, (w, leaf) in enumerate(zip(words, node.tolist(), strict=True)):
-            half = (len(w) - 1) // 2
-            self.halves[leaf, 0, w[:half]].append(k)
-            self.halves[leaf, 1, w[-half:] if half else ""].append(k)
+            if self.base <= SMALL:
+                self.tables.append(np.full(nodes * self.base, -1))
+                self.tables[-1][found] = np.arange(len(found))
+            nodes = len(found)
+        self.heads, tails = self.codes.halves(0)
+        self.index = []  # words at the leaves by their halves
+        for side in (self.heads, tails):
+            key = T.mix(side + node.astype(np.uint64) * _SALT)
+            order = np.argsort(key, kind="stable")
+            keys, first, many = np.unique(key[order], return_index=True, return_counts=True)
+            self.index.append((keys, first, many, order))
+
+    def child(self, level: int, nodes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The nodes' children with these counts, -1 for none."""
+        key = nodes * self.base + np.maximum(counts, 0)  # no child has 0, as counts are held one higher
+        if self.tables:
+            return self.tables[level][key]
+        at = np.minimum(np.searchsorted(self.children[level], key), len(self.children[level]) - 1)
+        return np.where(self.children[level][at] == key, at, -1)
 
     def leaves(self, vecs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """Rows of `vecs`, leaves that their budget reaches, and the state at the leaf."""
-        stack = [(0, np.arange(len(vecs)), np.zeros(len(vecs), np.int64), 0)]
-        while stack:
-            level, rows, nodes, state = stack.pop()
-            if level == GROUPS:
-                yield rows, nodes, state
-                continue
-            for change, then in ((0, state), (1, 1)) if state == 0 else ((0, state), (-1, 2)) if state == 1 else ((0, state),):
-                count = np.minimum(vecs[rows, level] + change + 1, self.base - 1)
-                key = nodes * self.base + np.maximum(count, 0)
-                child = np.minimum(np.searchsorted(self.children[level], key), len(self.children[level]) - 1)
-                hit = (self.children[level][child] == key) & (count > 0)
-                if hit.any():
-                    stack.append((level + 1, rows[hit], child[hit], then))
+        none = np.zeros(0, np.int64)
+        now = [(np.arange(len(vecs)), np.zeros(len(vecs), np.int64)), (none, none), (none, none)]  # by state
+        for level in range(GROUPS):
+            then: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+            for state, change, after in ((0, 0, 0), (0, 1, 1), (1, 0, 1), (1, -1, 2), (2, 0, 2)):
+                rows, nodes = now[state]
+                child = self.child(level, nodes, np.minimum(vecs[rows, level] + change + 1, self.base - 1))
+                hit = child >= 0
+                then[after].append((rows[hit], child[hit]))
+            now = [(np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])) for found in then]
+        for state, (rows, nodes) in enumerate(now):
+            yield rows, nodes, state
 
     def near(self, words: list[str]) -> Iterator[tuple[int, int]]:
         """(place in `words`, place in the trie's words) of all near pairs, each pair of the vocabulary from one side."""
-        get = self.halves.get
+        codes = Codes(words)
+        halves = {0: codes.halves(0), 1: codes.halves(1)}
         for rows, leaves, state in self.leaves(vectors(words).astype(np.int64)):
-            for q, leaf in zip(rows.tolist(), leaves.tolist(), strict=True):
-                w = words[q]
-                half = (len(w) - (state != 1)) // 2
-                head, tail = w[:half], w[len(w) - half :]
-                for k in get((leaf, 0, head), ()):
-                    x = self.words[k]
-                    if one_edit(w, x) and (state or w < x):
-                        yield q, k
-                for k in get((leaf, 1, tail), ()):
-                    x = self.words[k]
-                    if x[:half] != head and one_edit(w, x) and (state or w < x):
-                        yield q, k
+            longer = int(state == 1)
+            for side in (0, 1):
+                key = T.mix(halves[longer][side][rows] + leaves.astype(np.uint64) * _SALT)
+                found, first, many, order = self.index[side]
+                place = np.minimum(np.searchsorted(found, key), len(found) - 1)
+                met = found[place] == key
+                q, first, many = rows[met], first[place[met]], many[place[met]]
+                q, at = np.repeat(q, many), np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                k = order[at]
+                for cut in range(0, len(q), STEP):
+                    a, b = q[cut : cut + STEP], k[cut : cut + STEP]
+                    if side:  # pairs with equal heads have been met
+                        other = halves[longer][0][a] != self.heads[b]
+                        a, b = a[other], b[other]
+                    hit = codes.one_edit(a, self.codes, b, longer)
+                    for i, j in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
+                        if state or words[i] < self.words[j]:
+                            yield i, j
+
+
+class Codes:
+    """The code points of words: of words up to WIDTH as a matrix, of longer ones as strings only."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.sizes = words, np.fromiter(map(len, words), np.int64, len(words))
+        row = np.repeat(np.arange(len(words)), self.sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        self.matrix = np.zeros((len(words), WIDTH + 1), np.uint32)
+        self.matrix[row[place < WIDTH], place[place < WIDTH]] = codes[place < WIDTH]
+
+    def halves(self, longer: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first and the last half that a word shares with near words as long as it, or longer by one."""
+        cuts = ((self.sizes - 1 + longer) // 2).tolist()
+        heads = np.fromiter((hash(w[:c]) for w, c in zip(self.words, cuts, strict=True)), np.int64, len(cuts))
+        tails = np.fromiter((hash(w[len(w) - c :]) for w, c in zip(self.words, cuts, strict=True)), np.int64, len(cuts))
+        return heads.view(np.uint64), tails.view(np.uint64)
+
+    def one_edit(self, rows: np.ndarray, other: Codes, others: np.ndarray, longer: int) -> np.ndarray:
+        """Whether one replaced code point, or one inserted if `longer`, turns the words `rows` into the `others`."""
+        sizes = self.sizes[rows]
+        ok = other.sizes[others] == sizes + longer
+        a, b = self.matrix[rows], other.matrix[others]
+        differ = a != b
+        if longer:
+            before = np.where(differ.any(1), differ.argmax(1), WIDTH)  # code points in common at the beginning
+            place = np.arange(WIDTH)
+            ok &= ~((a[:, :WIDTH] != b[:, 1:]) & (place >= before[:, None]) & (place < sizes[:, None])).any(1)
+        else:
+            ok &= differ.sum(1) == 1
+        for i in np.flatnonzero(sizes + longer > WIDTH).tolist():
+            ok[i] = one_edit(self.words[rows[i]], other.words[others[i]])
+        return ok
 
 
 def _plan(words: DataFrame) -> tuple[int, set[bytes]]:
@@ -201,20 +283,39 @@ def near_words(words: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.ones(len(rows), np.int8)), *(c.take(pa.array(rows)) for c in batch.columns)], names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, trie, own = None, None, []
+        current, trie = None, None
+        own: tuple[list[str], list[int]] = ([], [])
+        asking: tuple[list[str], list[int]] = ([], [])
+
+        def found() -> pa.RecordBatch:
+            pairs = list(trie.near(asking[0]))
+            q, k = [i for i, _ in pairs], [j for _, j in pairs]
+            a, b, m, n = [asking[0][i] for i in q], [own[0][j] for j in k], [asking[1][i] for i in q], [own[1][j] for j in k]
+            return pa.RecordBatch.from_arrays([pa.array(a + b, pa.string()), pa.array(b + a, pa.string()), pa.array(n + m, pa.int64())], ["word", "near", "near_n"])
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("home", "piece", "asks", "word", "n")]
-            for (home, piece, asks), rows in groupby(zip(*columns, strict=True), lambda r: r[:3]):
-                part = [r[3:] for r in rows]
-                if not asks:
-                    own = own + part if current == (home, piece) else part
-                    current, trie = (home, piece), None
+            home, piece, asks, word, n = (batch.column(c) for c in ("home", "piece", "asks", "word", "n"))
+            turn = pc.or_(pc.or_(pc.not_equal(home[1:], home[:-1]), pc.not_equal(piece[1:], piece[:-1])), pc.not_equal(asks[1:], asks[:-1]))
+            cuts = [0, *(np.flatnonzero(turn.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
                     continue
-                trie = trie or Trie([w for w, _ in own])
-                pairs = [(part[q], own[k]) for q, k in trie.near([w for w, _ in part])]
-                both = pairs + [(b, a) for a, b in pairs]
-                arrays = [pa.array([a[0] for a, _ in both], pa.string()), pa.array([b[0] for _, b in both], pa.string()), pa.array([b[1] for _, b in both], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["word", "near", "near_n"])
+                key = home[a].as_py(), piece[a].as_py()
+                if current != key and asking[0]:
+                    yield found()
+                    asking = ([], [])
+                if current != key:
+                    own, current, trie = ([], []), key, None
+                into = asking if asks[a].as_py() else own
+                into[0].extend(word[a:b].to_pylist())
+                into[1].extend(n[a:b].to_pylist())
+                if asking[0]:
+                    trie = trie or Trie(own[0])
+                if len(asking[0]) >= BLOCK:
+                    yield found()
+                    asking = ([], [])
+        if asking[0]:
+            yield found()
 
     routed = T.stored(words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(route, "home binary, asks byte, word string, n long"), "routes")
     load = routed.groupBy("home").agg(F.sum("asks").alias("q"), F.count("*").alias("all")).where("all > q")  # parts that hold words
@@ -230,8 +331,7 @@ def spelling_variants(docs: DataFrame, shortest: int = 7, least: int = 2, times:
 
     A word's form is its most frequent near word (ties: the smallest) if that occurs `times` as often; following forms gives its root.
     """
-    counted = occurrences(docs, shortest, every).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    words = T.stored(counted, "words")
+    words = T.stored(word_counts(docs, shortest, every).where(F.col("n") >= least), "words")
     near = T.stored(near_words(words), "near-words")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     own = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), (-F.col("best.less")).alias("best_n"), "best.near")
