@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from morphotab.llm.covering_dedup import deduplicated
+from morphotab.llm.covering_dedup import near_deduplicated
 from morphotab.llm.curve_packing import packed
 from morphotab.llm.decontaminate import decontaminated
 from morphotab.llm.kneser_ney import good
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by SimHashes of five-word shingles."""
-    return deduplicated(docs)
+    """One document of each group whose SimHashes of four-word shingles are linked at four or fewer differing bits."""
+    return near_deduplicated(docs, width=4, radius=4)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,5 +313,14 @@ def deduplicated(docs: DataFrame, width: int = 5, prints: int = 8, similarity: f
     return T.without(docs, gone)
 
 
+def near_deduplicated(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of `docs` that carry the smallest doc_id of their group by near_duplicates, all columns; repeated rows of that doc_id stay.
+
+    Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, width, radius).where("doc_id <> component_id")
+    return T.without(docs, T.stored(found.select("doc_id").distinct(), "copies"))
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -301,6 +301,30 @@ def test_deduplicated_keeps_what_is_less_similar(spark):
     assert found[4] >= 57 and found[20] == 0  # similarities of 0.87 and 0.49
 
 
+def test_near_deduplicated(spark, docs, rows):
+    """The pipeline's stage keeps the smallest doc_id of each group at 4 bits, whatever else is alike."""
+    base = sentence(np.random.default_rng(9), 200)
+    more = [(300 + i, base.replace("bridge", f"b{i}", 1), "en", "s", 1, "x") for i in range(12)]
+    label = {fp: fp for fp in {plain_fingerprint(r[1], 4) for r in rows + more}}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in itertools.combinations(label, 2):
+        if (a ^ b).bit_count() <= 4:
+            label[root(a)] = root(b)
+    least = {}
+    for r in rows + more:
+        if r[0] is not None:
+            group = root(plain_fingerprint(r[1], 4))
+            least[group] = min(r[0], least.get(group, r[0]))
+    wanted = [r[0] for r in rows + more if r[0] is None or least[root(plain_fingerprint(r[1], 4))] == r[0]]
+    out = covering_dedup.near_deduplicated(docs.union(spark.createDataFrame(more, SCHEMA)))
+    assert out.columns == docs.columns and sorted(map(str, wanted)) == sorted(str(r.doc_id) for r in out.collect())
+
+
 def edited(rng, n, edits, tag):
     """Two texts of n words; the copy has `edits` words changed that share no five-word shingle."""
     words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
