@@ -36,7 +36,7 @@ GROUPS = 16
 DEPTHS = (2, 4, 8, 16)  # levels of the trie by which the vocabulary is dealt
 LEAF = 30_000
 PARTS = 1000
-PIECE = 200_000
+PIECE = 50_000
 WIDTH = 31  # longer words are compared as strings
 COUNTED = 200_000  # different words that a task counts before it hands them on
 BLOCK = 50_000  # words that search a part together
