@@ -6,21 +6,20 @@ preamble, a header and the rows of one statistic.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphotab import schema as S
 from morphotab.functions.columns import col, key_struct
 from morphotab.functions.nulls import finite
 from morphotab.operators.clean import SPOTS, SURFACES, SURPASS_OBJECT, harmonise, retained_columns
+from morphotab.sources.shared import new_folder
 
 PREAMBLE_LINES = 3
-WHOLE_FILE_BYTES = 32 << 20
 SOURCE = "_path"
-HEADER_MARKS = ["Category", "ID"]
 
 _TEXT = {"Category", "Channel", "Image", SURPASS_OBJECT, "Time", "ID", SURFACES, SPOTS}
 _RENAMED = {"ID": S.OBJECT_ID, "Image": S.IMAGE_SUBSET}
@@ -52,69 +51,69 @@ def skip_small_files(files: DataFrame, size: str = "_size", min_bytes: int = S.M
     return files.where(col(size) >= min_bytes)
 
 
-def _metadata(df: DataFrame) -> DataFrame:
-    # the path comes percent-encoded, in which a plus sign stands for itself
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return df.select("value", path.alias(SOURCE), F.col("_metadata.file_size").alias("_size"))
-
-
 def _fields(line: Column, width: int) -> Column:
     """The fields of a CSV line, trimmed; blank and NA fields are NULL."""
     names = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{n} string" for n in names)
     parsed = F.from_csv(
-        line, schema, {"nullValue": "NA", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+        line, schema, {"nullValue": "NA", "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     )
     return F.transform(
         F.array(*[parsed.getField(n) for n in names]), lambda v: F.nullif(F.nullif(F.trim(v), F.lit("")), F.lit("NA"))
     )
 
 
-def _text(spark: SparkSession, root: str, whole: bool) -> DataFrame:
+def _stored_lines(spark: SparkSession, root: str) -> DataFrame:
+    """All lines of all files, with the split they come from and their order in it, written once to the shared folder.
+
+    A split is read by one task from its first line to its last, so the ids of its rows are in the order of its lines.
+    Stored, they stay what they are however the files are split when they are read next.
+    """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    rows = _metadata(reader.text(root, wholetext=whole))
-    return skip_listed_files(rows)
-
-
-def _small_files(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of ordinary files. A file is one row here, so header and rows meet without a shuffle."""
-    lines = F.split("value", "\r?\n")
-    return (
-        _text(spark, root, True)
-        .where(F.col("_size") <= WHOLE_FILE_BYTES)
-        .select(SOURCE, lines.alias("_lines"))
-        .select(
-            SOURCE,
-            F.get("_lines", F.lit(PREAMBLE_LINES)).alias("_header"),
-            F.explode(F.slice("_lines", PREAMBLE_LINES + 2, F.size("_lines"))).alias("_line"),
-        )
-    )
+    # the path comes percent-encoded, in which a plus sign stands for itself
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    block = F.col("_metadata.file_block_start").alias("_block")
+    lines = reader.text(root).select(path.alias(SOURCE), block, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_line"))
+    folder = new_folder(spark, "lines")
+    skip_listed_files(lines).write.parquet(folder)
+    return spark.read.schema(lines.schema).parquet(folder)
 
 
-def _large_files(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of huge files, read in splits. The header is the line that names the mandatory columns."""
-    lines = (
-        _text(spark, root, False)
-        .where(F.col("_size") > WHOLE_FILE_BYTES)
-        .select(SOURCE, F.regexp_replace("value", "\r$", "").alias("_line"))
+def addressed_lines(spark: SparkSession, root: str) -> tuple[DataFrame, list[str]]:
+    """Path, header and line of every row of every file, and the different headers.
+
+    Lines are counted by split; sums over the splits before give each line's number in its file, so the fourth line is the
+    header and the rows follow it, wherever files are split. A file without a fourth line, or with a blank one, has no rows.
+    Blank lines are no rows.
+    """
+    lines = _stored_lines(spark, root)
+    earlier = Window.partitionBy(SOURCE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        lines.groupBy(SOURCE, "_block")
+        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+        .withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+        .select(SOURCE, "_block", (PREAMBLE_LINES - F.col("_before") + F.col("_first")).alias("_header_at"))
     )
-    fields = F.transform(F.split("_line", ","), lambda f: F.trim(F.regexp_replace(f, '"', "")))
-    is_header = reduce(lambda a, b: a & b, [F.array_contains(fields, m) for m in HEADER_MARKS])
-    headers = lines.where(is_header).groupBy(SOURCE).agg(F.min("_line").alias("_header"))
-    wide_enough = F.size(F.split("_line", ",")) >= F.size(F.split("_header", ",")) - 1
-    return lines.where(~is_header).join(headers, SOURCE).where(wide_enough).select(SOURCE, "_header", "_line")
+    first = lines.join(blocks, [SOURCE, "_block"]).where(F.col("_at") == F.col("_header_at"))
+    folder = new_folder(spark, "headers")  # one row for each file
+    first.where(F.trim("_line") != "").select(SOURCE, F.col("_line").alias("_header")).write.parquet(folder)
+    headers = spark.read.schema(f"{SOURCE} string, _header string").parquet(folder)
+    rows = (
+        lines.join(blocks.join(headers, SOURCE), [SOURCE, "_block"])
+        .where((F.col("_at") > F.col("_header_at")) & (F.trim("_line") != ""))
+        .select(SOURCE, "_header", "_line")
+    )
+    return rows, [r[0] for r in headers.select("_header").distinct().collect()]
 
 
 def read_stat_rows(spark: SparkSession, root: str) -> DataFrame:
-    """All rows of all files with the columns of any of them, in one pass over the text.
+    """All rows of all files with the columns of any of them.
 
     The headers are looked at first: there are as many different ones as kinds of statistic,
-    and they decide the columns of the result.
+    and they decide the columns of the result. Fields beyond the header are left out, missing ones are NULL.
     """
-    lines = _small_files(spark, root).unionByName(_large_files(spark, root))
-    lines = lines.where(F.trim("_line") != "")
-    headers = [r[0] for r in lines.select("_header").distinct().collect() if r[0]]
-    width = max((h.count(",") for h in headers), default=0) + 1
+    lines, headers = addressed_lines(spark, root)
+    width = max((len(_csv_fields(h)) for h in headers), default=1)
     header_fields = _header_names(headers)
     wanted = retained_columns(header_fields)
     pairs = F.map_from_entries(
@@ -136,14 +135,13 @@ def read_stat_rows(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _csv_fields(line: str) -> list[str]:
+    return next(csv.reader([line], skipinitialspace=True), [])
+
+
 def _header_names(headers: Sequence[str]) -> list[str]:
-    names: dict[str, None] = {}
-    for header in headers:
-        for name in header.split(","):
-            name = name.strip().strip('"').strip()
-            if name and name != "NA":
-                names[name] = None
-    return sorted(names)
+    names = {name.strip() for header in headers for name in _csv_fields(header)}
+    return sorted(names - {"", "NA"})
 
 
 def read_stat_tree(spark: SparkSession, root: str) -> DataFrame:

@@ -148,10 +148,18 @@ def tree(tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("limit", [stat_tree.WHOLE_FILE_BYTES, 0])
-def test_tree(spark, tree, monkeypatch, limit):
-    """Small files are read whole, large ones line by line; both give the same table."""
-    monkeypatch.setattr(stat_tree, "WHOLE_FILE_BYTES", limit)
+@pytest.fixture(params=["200b", "128mb"])
+def split_size(spark, request):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", request.param)
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    yield request.param
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_tree(spark, tree, split_size):
+    """One rule for files of any size: the splits they are read in do not matter."""
     out = stat_tree.read_stat_tree(spark, str(tree))
     got = {(r["Image File"], r["Object"], r["Channel"]): r.asDict() for r in out.collect()}
     assert set(got) == {
@@ -171,6 +179,45 @@ def test_tree(spark, tree, monkeypatch, limit):
     assert out.columns[:7] == S.KEYS and out.columns[-2:] == S.TRAILING
 
 
+ODD = {
+    "Short": ["Volume,Unit,Category,Surpass Object,Time,ID,", "1.5", "2.5,um,Surface,CC,1,2,,,more", "", "  ", "3.5,um,Surface"],
+    "HeaderLike": ["Volume,Category,ID", "Volume,Category,ID", "4.5,Spot,4", '"Volume",Category,"ID"'],
+    "NoID": ["Volume,Category,Surpass Object", "5.5,Surface,CC"],
+    "Quoted": ['"Volume","Unit, long","Category","ID"', '6.5,"a, ""b""",Surface,6'],
+    "OnlyHeader": ["Volume,Unit,Category,ID" + " " * 90],
+    "Long": ["Volume,Category,ID", *[f"{k}.25,Surface,{k}" for k in range(60)]],
+}
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_rows_of_odd_files(spark, tmp_path, split_size, line_end):
+    """Short rows, rows like the header, headers without mandatory columns and quoted commas, in splits of any size."""
+    folder = tmp_path / split_size / "WT" / "dark" / "img_Statistics"
+    folder.mkdir(parents=True)
+    for name, lines in ODD.items():
+        (folder / f"{name}.csv").write_bytes(line_end.join([" ", name, "=" * 20, *lines, ""]).encode())
+    (folder / "ThreeLines.csv").write_bytes(line_end.join([" ", "x", "y"]).encode())
+    (folder / "BlankHeader.csv").write_bytes(line_end.join([" ", "x", "y", "", "1,2,3"]).encode())
+    out = stat_tree.read_stat_rows(spark, str(tmp_path / split_size))
+    rows = out.collect()
+    got = [(r["_path"].rpartition("/")[2][:-4], r["Volume"], r["Category"], r["Object ID"], r["Image File"]) for r in rows if "Long" not in r["_path"]]
+    assert sorted(map(str, got)) == sorted(
+        str((*x, "img"))
+        for x in [
+            ("Short", 1.5, None, None),
+            ("Short", 2.5, "Surface", "2"),
+            ("Short", 3.5, "Surface", None),
+            ("HeaderLike", None, "Category", "ID"),
+            ("HeaderLike", 4.5, "Spot", "4"),
+            ("HeaderLike", None, "Category", "ID"),
+            ("NoID", 5.5, "Surface", None),
+            ("Quoted", 6.5, "Surface", "6"),
+        ]
+    )
+    long = sorted((r["Volume"], r["Object ID"]) for r in rows if "Long" in r["_path"])
+    assert long == sorted((k + 0.25, str(k)) for k in range(60))
+
+
 def test_csv_upload(spark, tmp_path):
     (tmp_path / "t.csv").write_text(
         "Object ID,Channel,Volume,Genotype,Treatment,Image File,Category,Object,Time,\n"
