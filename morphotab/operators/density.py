@@ -20,7 +20,8 @@ from pyspark.sql.functions import pandas_udf
 from morphotab.functions.columns import col, key_struct
 from morphotab.functions.nulls import finite, is_finite
 from morphotab.functions.skew import join_facets
-from morphotab.operators.ranks import SAMPLE_EVERY, key_columns, quantiles
+from morphotab.operators.ranks import key_columns
+from morphotab.operators.selection import FINISH, quantiles
 
 # ship the smoothing functions with the query: executors need no installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -157,7 +158,7 @@ def _density_udf(points: int, grid: int):
 
 
 def _densities(
-    data: DataFrame, keys: Sequence[str], ranges: str, split: str, adjust: float, points: int, grid: int, sample_every: int
+    data: DataFrame, keys: Sequence[str], ranges: str, split: str, adjust: float, points: int, grid: int, finish: int
 ) -> DataFrame:
     """One row per facet: `_key`, n, start, end, `_y` (array of densities). `ranges`: all, panel or facet."""
     data = data.withColumn("_key", key_struct(keys))
@@ -167,7 +168,7 @@ def _densities(
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
-    quarts = quantiles(data, "_v", keys, {"_q1": 0.25, "_q3": 0.75}, sample_every).drop("_n")
+    quarts = quantiles(data, "_v", keys, {"_q1": 0.25, "_q3": 0.75}, finish).drop("_n")
     facets = moments.join(quarts, "_key").where(F.col("n") >= 2)
     if ranges == "facet":
         start, end = F.col("_min"), F.col("_max")
@@ -226,7 +227,7 @@ def kde(
     points: int = 512,
     grid: int = 512,
     free_x: bool = False,
-    sample_every: int = SAMPLE_EVERY,
+    finish: int = FINISH,
 ) -> DataFrame:
     """Gaussian kernel density per (split, fill) at `points` places of the common range.
 
@@ -234,7 +235,7 @@ def kde(
     """
     keys = _facet_keys(split, fill)
     data = _values(df, value, limits, keys)
-    found = _densities(data, keys, "panel" if free_x else "all", split, adjust, points, grid, sample_every)
+    found = _densities(data, keys, "panel" if free_x else "all", split, adjust, points, grid, finish)
     return _points(found, keys, points, "x")
 
 
@@ -246,13 +247,13 @@ def violin(
     limits: Limits | None = None,
     points: int = 512,
     grid: int = 512,
-    sample_every: int = SAMPLE_EVERY,
+    finish: int = FINISH,
 ) -> DataFrame:
     """Kernel density per (split, fill) over the facet's own range, with its median."""
     keys = _facet_keys(split, fill)
     data = _values(df, value, limits, keys)
-    found = _densities(data, keys, "facet", split, 1.0, points, grid, sample_every)
-    medians = quantiles(data, "_v", keys, {"median": 0.5}, sample_every).drop("_n")
+    found = _densities(data, keys, "facet", split, 1.0, points, grid, finish)
+    medians = quantiles(data, "_v", keys, {"median": 0.5}, finish).drop("_n")
     return _points(found.join(medians, "_key"), keys, points, "y", ["median"])
 
 
@@ -302,7 +303,7 @@ def density2d(
     y_limits: Limits | None = None,
     points: int = 100,
     refine: int = 4,
-    sample_every: int = SAMPLE_EVERY,
+    finish: int = FINISH,
 ) -> DataFrame:
     """2-D kernel density per facet on a points x points grid over the common range.
 
@@ -327,7 +328,7 @@ def density2d(
     )
     for axis in ("x", "y"):
         probs = {f"_l{axis}": 0.25, f"_u{axis}": 0.75}
-        facets = facets.join(quantiles(data, f"_{axis}", [facet], probs, sample_every).drop("_n"), "_key")
+        facets = facets.join(quantiles(data, f"_{axis}", [facet], probs, finish).drop("_n"), "_key")
 
     def bandwidth(axis: str) -> Column:
         spread = _spread(F.col(f"_s{axis}"), F.col(f"_u{axis}") - F.col(f"_l{axis}"))

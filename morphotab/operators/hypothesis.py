@@ -11,11 +11,11 @@ from morphotab.functions.columns import col, key_struct
 from morphotab.functions.nulls import finite, is_finite, safe_ln
 from morphotab.functions.skew import join_facets
 from morphotab.functions.tails import chi2_p, f_p, p_text, t_p
-from morphotab.operators.ranks import SAMPLE_EVERY, average_rank, key_columns, ranked_values
+from morphotab.operators.ranks import MOST, average_rank, key_columns, ranked_values
 
 
 def kruskal(
-    df: DataFrame, value: str, group: str, split: str, sample_every: int = SAMPLE_EVERY
+    df: DataFrame, value: str, group: str, split: str, most: int = MOST
 ) -> DataFrame:
     """Kruskal-Wallis test of `value` between the two groups of every facet of `split`.
 
@@ -24,7 +24,7 @@ def kruskal(
     equal counts as tested but has no statistic.
     """
     known = df.where(col(group).isNotNull())
-    ranked = ranked_values(known, value, [split], [group], sample_every)
+    ranked = ranked_values(known, value, [split], [group], most)
     middle = (F.col("_total") + 1) / F.lit(2.0)
     per_group = ranked.groupBy("_key", col(group)).agg(
         F.max("_total").alias("_total"),

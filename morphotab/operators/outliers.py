@@ -6,33 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphotab.functions.columns import col
-from morphotab.operators.ranks import SAMPLE_EVERY, hinges
+from morphotab.operators.selection import FINISH, hinges
 
 FENCE = 1.5
 
 
-def fences(df: DataFrame, value: str, coef: float = FENCE, sample_every: int = SAMPLE_EVERY) -> DataFrame:
+def fences(df: DataFrame, value: str, coef: float = FENCE, finish: int = FINISH) -> DataFrame:
     """One row `low`, `high`: hinges minus / plus `coef` hinge spreads."""
     spread = F.col("upper_hinge") - F.col("lower_hinge")
-    return hinges(df, value, sample_every=sample_every).select(
+    return hinges(df, value, finish=finish).select(
         (F.col("lower_hinge") - coef * spread).alias("low"), (F.col("upper_hinge") + coef * spread).alias("high")
     )
 
 
-def _outside(df: DataFrame, value: str, coef: float, sample_every: int) -> Column:
-    bounds = fences(df, value, coef, sample_every).select(F.struct("low", "high").alias("fences")).scalar()
+def _outside(df: DataFrame, value: str, coef: float, finish: int) -> Column:
+    bounds = fences(df, value, coef, finish).select(F.struct("low", "high").alias("fences")).scalar()
     return (col(value) < bounds["low"]) | (col(value) > bounds["high"])
 
 
-def outliers(df: DataFrame, value: str, coef: float = FENCE, sample_every: int = SAMPLE_EVERY) -> DataFrame:
+def outliers(df: DataFrame, value: str, coef: float = FENCE, finish: int = FINISH) -> DataFrame:
     """Rows whose value lies outside the fences."""
-    return df.where(_outside(df, value, coef, sample_every))
+    return df.where(_outside(df, value, coef, finish))
 
 
 def remove_outliers(
-    df: DataFrame, value: str, coef: float = FENCE, sample_every: int = SAMPLE_EVERY
+    df: DataFrame, value: str, coef: float = FENCE, finish: int = FINISH
 ) -> DataFrame:
     """All other rows, including those without a value; the table as it is if the column was dropped."""
     if value not in df.columns:
         return df
-    return df.where(~F.coalesce(_outside(df, value, coef, sample_every), F.lit(False)))
+    return df.where(~F.coalesce(_outside(df, value, coef, finish), F.lit(False)))

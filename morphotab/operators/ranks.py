@@ -1,4 +1,4 @@
-"""Exact ranks and order statistics without a single-task sort.
+"""Exact ranks without a single-task sort.
 
 A window over a facet with a third of all rows would sort that third in one task.
 Here every facet is cut into value ranges first, so the work per task is bounded by
@@ -6,25 +6,27 @@ the range, not by the facet:
 
 1. values are counted per facet and distinct value (map-side combine, so a value
    that fills a third of the table is one row per task);
-2. a fixed hash picks about one distinct value in `sample_every` as split points.
-   They depend on the data alone, so a recomputed task finds the same ones, and any
-   choice of split points gives the same ranks;
-3. ranges are ranked by a window on (facet, range) and shifted by the number of rows
-   in the ranges before, which come from one small total per range.
+2. the leading 16 bits of a value's order key name its coarse range. A range with more than
+   `most` distinct values is cut by 16 more bits, and so on down to single values: a tree of
+   splits that grows with the data. The ranges to cut are few (one for every `most` values and
+   level); they are met by equi-joins on the range, so no row carries a list of splits;
+3. ranges are ranked by a window on (facet, range) and shifted by the number of rows in the
+   ranges before: within a coarse range first, then among at most 65,536 coarse ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphotab.functions.columns import col, cols, key_struct
 from morphotab.functions.nulls import finite
+from morphotab.operators.selection import STEP, order_key
+from morphotab.sources.shared import written
 
-SAMPLE_EVERY = 1 << 18
-MAX_SPLITS = 50_000
+MOST = 1 << 18
 
 
 def _counts(df: DataFrame, value: str, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -37,36 +39,23 @@ def _counts(df: DataFrame, value: str, keys: Sequence[str], by: Sequence[str]) -
     )
 
 
-def _split_points(counts: DataFrame, sample_every: int) -> DataFrame:
-    # `_n` is never 0; multiplying by it keeps the filter above the aggregation, so that
-    # the sample reads the shuffled counts instead of computing the whole input again.
-    # The limit bounds what is broadcast. It thins out the split points of very large
-    # inputs, which makes ranges larger but leaves every rank as it is.
-    picked = (
-        counts.where(F.pmod(F.xxhash64("_key", "_x"), F.lit(sample_every)) * F.col("_n") == 0)
-        .select("_key", "_x")
-        .orderBy(F.xxhash64("_key", "_x"), "_x")
-        .limit(MAX_SPLITS)
-    )
-    splits = F.array_sort(F.collect_set("_x"))
-    # offsets of a binary search: the powers of two not above the number of splits
-    steps = F.transform(
-        F.sequence(F.floor(F.log2(F.size("_splits"))).cast("int"), F.lit(0), F.lit(-1)),
-        lambda e: F.pow(F.lit(2), e).cast("int"),
-    )
-    return picked.groupBy("_key").agg(splits.alias("_splits")).withColumn("_steps", steps)
-
-
-def _range_of(x: Column) -> Column:
-    """Number of split points not above x; 0 in a facet without splits."""
-    found = F.reduce(
-        F.col("_steps"),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size("_splits")) & (F.try_element_at(F.col("_splits"), at + step) <= x), at + step
-        ).otherwise(at),
-    )
-    return F.coalesce(found, F.lit(0))
+def _ranged(counts: DataFrame, most: int) -> DataFrame:
+    """The counts with `_top` (coarse range) and `_range` (first key of the finest range that a value lies in)."""
+    ranged = counts.withColumn("_bits", order_key(F.col("_x")))
+    top = F.shiftright("_bits", 64 - STEP)
+    ranged = ranged.withColumns({"_top": top, "_range": F.shiftleft(top, 64 - STEP)})
+    full = ranged.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_values")).where(F.col("_values") > most)
+    for shift in range(64 - 2 * STEP, -1, -STEP):
+        cut = written(full.select("_key", "_range", F.lit(True).alias("_cut")), "splits")
+        if cut.isEmpty():
+            break
+        fine = F.shiftleft(F.shiftright("_bits", shift), shift)
+        joined = ranged.join(cut, ["_key", "_range"], "left")
+        ranged = joined.withColumn("_range", F.when(F.col("_cut"), fine).otherwise(F.col("_range")))
+        within = ranged.where("_cut").groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_values"))
+        full = within.where(F.col("_values") > most)
+        ranged = ranged.drop("_cut")
+    return ranged.drop("_bits")
 
 
 def ranked_values(
@@ -74,31 +63,35 @@ def ranked_values(
     value: str,
     keys: Sequence[str] = (),
     by: Sequence[str] = (),
-    sample_every: int = SAMPLE_EVERY,
+    most: int = MOST,
 ) -> DataFrame:
     """One row per (keys, value, by) with its count and where the value stands in its facet.
 
     Columns: `_key` (struct of keys), `by`, `_x`, `_n`, `_below` (rows of the facet with a
     smaller value), `_ties` (rows with this value) and `_total`. Missing values are left out.
+    The counts are written to the shared folder, as the ranges are measured on them first.
     """
-    counts = _counts(df, value, keys, by)
-    ranged = (
-        counts.join(_split_points(counts, sample_every), "_key", "left")
-        .withColumn("_range", _range_of(F.col("_x")))
-        .drop("_splits", "_steps")
+    ranged = _ranged(written(_counts(df, value, keys, by), "counts"), most)
+    ranges = ranged.groupBy("_key", "_top", "_range").agg(F.sum("_n").alias("_in_range"))
+    tops = ranges.groupBy("_key", "_top").agg(F.sum("_in_range").alias("_in_top"))
+    earlier = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(
+        "_key",
+        "_top",
+        F.coalesce(F.sum("_in_top").over(earlier(["_key"], "_top")), F.lit(0)).alias("_before_top"),
+        F.sum("_in_top").over(Window.partitionBy("_key")).alias("_total"),
     )
-    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_in_range").over(earlier(["_key", "_top"], "_range")), F.lit(0))
     offsets = (
-        ranged.groupBy("_key", "_range")
-        .agg(F.sum("_n").alias("_in_range"))
-        .withColumn("_offset", F.coalesce(F.sum("_in_range").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_in_range").over(Window.partitionBy("_key")))
-        .drop("_in_range")
+        ranges.withColumn("_inside", inside)
+        .join(tops, ["_key", "_top"])
+        .select("_key", "_range", "_total", (F.col("_before_top") + F.col("_inside")).alias("_offset"))
     )
     here = Window.partitionBy("_key", "_range")
     up_to = here.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ranged.withColumn("_up_to", F.sum("_n").over(up_to))
+        ranged.drop("_top")
+        .withColumn("_up_to", F.sum("_n").over(up_to))
         .withColumn("_ties", F.sum("_n").over(Window.partitionBy("_key", "_range", "_x")))
         .join(offsets, ["_key", "_range"])
         .withColumn("_below", F.col("_offset") + F.col("_up_to") - F.col("_ties"))
@@ -116,80 +109,8 @@ def key_columns(keys: Sequence[str]) -> list[Column]:
     return [F.col("_key").getField(k).alias(k) for k in keys]
 
 
-def average_ranks(
-    df: DataFrame, value: str, keys: Sequence[str] = (), sample_every: int = SAMPLE_EVERY
-) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), most: int = MOST) -> DataFrame:
     """Average rank of every distinct value per facet: keys, value, n, rank."""
-    return ranked_values(df, value, keys, sample_every=sample_every).select(
+    return ranked_values(df, value, keys, most=most).select(
         *key_columns(keys), F.col("_x").alias(value), F.col("_n").alias("n"), average_rank().alias("rank")
     )
-
-
-def order_statistics(
-    df: DataFrame,
-    value: str,
-    keys: Sequence[str],
-    positions: Callable[[Column], dict[str, Column]],
-    sample_every: int = SAMPLE_EVERY,
-) -> DataFrame:
-    """Values at given 1-based positions of the sorted facet, with `_n` the facet's size.
-
-    `positions` maps the facet size to named integer positions.
-    """
-    ranked = ranked_values(df, value, keys, sample_every=sample_every)
-    wanted = positions(F.col("_total"))
-
-    def holds(p: Column) -> Column:
-        return (p > F.col("_below")) & (p <= F.col("_below") + F.col("_ties"))
-
-    return ranked.groupBy("_key").agg(
-        F.max("_total").alias("_n"),
-        *[F.max(F.when(holds(p), F.col("_x"))).alias(name) for name, p in wanted.items()],
-    )
-
-
-def quantiles(
-    df: DataFrame,
-    value: str,
-    keys: Sequence[str],
-    probs: dict[str, float],
-    sample_every: int = SAMPLE_EVERY,
-) -> DataFrame:
-    """Linearly interpolated quantiles (type 7) per facet, exact: `_key`, `_n` and one column per name."""
-
-    def place(n: Column, p: float) -> Column:
-        return (n - 1) * F.lit(p)
-
-    def positions(n: Column) -> dict[str, Column]:
-        out = {}
-        for name, p in probs.items():
-            out[f"_{name}_lo"] = F.floor(place(n, p)) + 1
-            out[f"_{name}_hi"] = F.ceil(place(n, p)) + 1
-        return out
-
-    found = order_statistics(df, value, keys, positions, sample_every)
-    lo = {name: F.col(f"_{name}_lo") for name in probs}
-    hi = {name: F.col(f"_{name}_hi") for name in probs}
-    part = {name: place(F.col("_n"), p) - F.floor(place(F.col("_n"), p)) for name, p in probs.items()}
-    return found.select(
-        "_key", "_n", *[(lo[k] + part[k] * (hi[k] - lo[k])).alias(k) for k in probs]
-    )
-
-
-def hinges(
-    df: DataFrame, value: str, keys: Sequence[str] = (), sample_every: int = SAMPLE_EVERY
-) -> DataFrame:
-    """Tukey's hinges per facet: `_key`, `_n`, `lower_hinge`, `upper_hinge`."""
-
-    def positions(n: Column) -> dict[str, Column]:
-        depth = F.floor((n + 3) / 2) / F.lit(2.0)
-        lo, hi = F.floor(depth), F.ceil(depth)
-        return {"_l1": lo, "_l2": hi, "_u1": n + 1 - lo, "_u2": n + 1 - hi}
-
-    found = order_statistics(df, value, keys, positions, sample_every)
-    return found.select(
-        "_key",
-        "_n",
-        ((F.col("_l1") + F.col("_l2")) / 2).alias("lower_hinge"),
-        ((F.col("_u1") + F.col("_u2")) / 2).alias("upper_hinge"),
-    )

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from morphotab.functions.columns import categorical_columns, col, key_struct, numeric_columns
 from morphotab.functions.nulls import finite, safe_ln
 from morphotab.functions.skew import join_facets
-from morphotab.operators.ranks import SAMPLE_EVERY, key_columns, quantiles
+from morphotab.operators.ranks import key_columns
 from morphotab.operators.select import dedup_group_values, lift_zeros
+from morphotab.operators.selection import FINISH, quantiles
 
 # The family of a numeric column by its name, first match wins.
 # (label, pattern, whether names that begin with Ratio or Group are left to later families)
@@ -94,14 +95,14 @@ def boxplot_summary(
     limits: tuple[float, float] | None = None,
     log: bool = False,
     digits: int = 3,
-    sample_every: int = SAMPLE_EVERY,
+    finish: int = FINISH,
 ) -> DataFrame:
     """Quartiles, mean, whiskers, notches and size of every (split, fill) box."""
     keys = list(dict.fromkeys([split, fill]))
     inside = df.where(col(value).between(*limits)) if limits else df
     x = finite(safe_ln(col(value)) if log else col(value).cast("double"))
     data = inside.select(*[col(k) for k in keys], x.alias("_v")).where(F.col("_v").isNotNull())
-    boxes = quantiles(data, "_v", keys, {"Lower": 0.25, "Middle": 0.5, "Upper": 0.75}, sample_every)
+    boxes = quantiles(data, "_v", keys, {"Lower": 0.25, "Middle": 0.5, "Upper": 0.75}, finish)
     spread = 1.5 * (F.col("Upper") - F.col("Lower"))
     boxes = boxes.withColumns({"_low": F.col("Lower") - spread, "_high": F.col("Upper") + spread})
     rows = join_facets(data.withColumn("_key", key_struct(keys)), boxes, F.col("_v"))

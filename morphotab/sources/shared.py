@@ -33,3 +33,10 @@ def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Da
         build().write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: computed once, and of known size to the planner."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

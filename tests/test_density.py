@@ -62,7 +62,7 @@ def exact(x, at, bw):
 def test_kde_matches_the_kernel_sum(spark, every):
     rows = sample()
     df = frame(spark, COLUMNS, rows)
-    out = density.kde(df, "x", "f", "s", adjust=1.5, points=64, sample_every=every).collect()
+    out = density.kde(df, "x", "f", "s", adjust=1.5, points=64, finish=every).collect()
     xs = np.array([r[2] for r in rows])
     for s, f in {(r[0], r[1]) for r in rows}:
         own = np.array([r[2] for r in rows if r[:2] == (s, f)])
