@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from morphotab.functions.columns import col
+from morphotab.functions.columns import col, cols, key_struct
+from morphotab.operators.selection import FINISH, selected_keys
+from morphotab.sources.shared import written
+
+POINTS = 10_000  # points shown in a panel
 
 
 def bin_column(value: str) -> str:
@@ -50,3 +54,19 @@ def sample_points(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFr
     """The rows whose keys' hash falls into the wanted fraction: a predicate on the row, so that a rerun draws the same ones."""
     drawn = F.substring(F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys])), 1, 8)
     return df if fraction >= 1 else df.where(drawn < f"{int(fraction * 2**32):08x}")
+
+
+def sample_exactly(df: DataFrame, panels: Sequence[str], keys: Sequence[str], points: int = POINTS, finish: int = FINISH) -> DataFrame:
+    """`points` rows of every panel, or all of a smaller one: those whose keys have the smallest hashes.
+
+    The hash of the last row to be drawn comes from the selection, so rows are neither sorted nor gathered by panel; of rows
+    with just that hash the first ones in the order of their columns are drawn. A rerun draws the same rows.
+    """
+    digits = F.substring(F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys])), 1, 15)
+    drawn = df.withColumns({"_key": key_struct(panels), "_bits": F.conv(digits, 16, 10).cast("long")})
+    last = selected_keys(drawn, lambda n: {"last": F.least(n, F.lit(points))}, finish)
+    last = written(last.select("_key", F.col("_cell").alias("_last"), "_pos"), "thresholds")
+    drawn = drawn.join(last, "_key")
+    ties = Window.partitionBy("_key").orderBy(*cols(df.columns))
+    at_last = drawn.where("_bits = _last").withColumn("_row", F.row_number().over(ties)).where("_row <= _pos")
+    return drawn.where("_bits < _last").select(*cols(df.columns)).unionAll(at_last.select(*cols(df.columns)))

@@ -141,8 +141,14 @@ def pearson(
     r = F.col("estimate")
     fit = (
         points.groupBy("_key")
-        .agg(F.corr("_x", "_y").alias("_r"), F.count(F.lit(1)).alias("n"))
-        .withColumn("estimate", F.when(F.col("n") >= 3, finite(F.col("_r"))))
+        .agg(
+            F.covar_pop("_x", "_y").alias("_together"),
+            (F.stddev_pop("_x") * F.stddev_pop("_y")).alias("_apart"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        # facets in which x or y is constant have no estimate
+        .withColumn("_r", finite(F.try_divide("_together", "_apart")))
+        .withColumn("estimate", F.when(F.col("n") >= 3, F.when(F.abs("_r") > 1, F.signum("_r")).otherwise(F.col("_r"))))
     )
     dof = F.col("n") - 2
     t = F.abs(r) * F.sqrt(F.try_divide(dof, F.greatest(1 - r * r, F.lit(0.0))))

@@ -424,6 +424,10 @@ SELECT object, genotype, round(lower, 6) AS lower, round(middle, 6) AS middle, r
 FROM q JOIN b USING (object, genotype))
 """)
 ORACLES["sample_points"] = with_view(f"SELECT {KEYS}, {ROUNDED} FROM m WHERE substr(md5(concat_ws('|', {KEYS})), 1, 8) < '4ccccccc'")
+ORACLES["sample_exactly"] = with_view(
+    f"SELECT {KEYS}, {ROUNDED} FROM m QUALIFY row_number() OVER (PARTITION BY object, channel "
+    f"ORDER BY substr(md5(concat_ws('|', {KEYS})), 1, 15), {KEYS}) <= 500"
+)
 _FENCES = """
 , s AS (SELECT volume AS x, row_number() OVER (ORDER BY volume) AS r, count(*) OVER () AS n
         FROM m WHERE volume IS NOT NULL),
@@ -443,6 +447,7 @@ SELECT l_returnflag, round(l_extendedprice, 6) AS l_extendedprice, n,
        CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - n + (n + 1) / 2.0 AS DOUBLE) AS rank
 FROM c
 """
+ORACLES["avg_rank_fine"] = ORACLES["avg_rank"]
 # erfc(z) for the upper tail of chi-square with one degree of freedom
 _ERF = (
     "(2 / sqrt(pi()) * exp(-h / 2) * list_sum(list_transform(range(0, 400), "
@@ -469,6 +474,7 @@ c AS (SELECT *, least(p * (SELECT count(*) FROM st WHERE tested), 1.0) AS cp FRO
 SELECT object, round(h, 6) AS statistic, n, round(p, 6) AS p_value, round(cp, 6) AS corrected_p_value,
        {_p_text('p')} AS p_text, {_p_text('cp')} AS corrected_p_text FROM c
 """)
+ORACLES["kruskal_fine"] = ORACLES["kruskal"]
 ORACLES["anova"] = with_view(f"""
 , g AS (SELECT object, treatment, count(*) AS n, avg(intensity_mean) AS a, var_pop(intensity_mean) * count(*) AS w
         FROM m WHERE intensity_mean IS NOT NULL GROUP BY object, treatment),
@@ -496,6 +502,11 @@ p AS (SELECT *, {_T_TAIL} AS p FROM z)
 SELECT object, channel, round(r, 6) AS estimate, n, round(p, 6) AS p_value, {_p_text('p')} AS p_text FROM p
 """)
 
+ORACLES["pearson_all"] = ORACLES["pearson"].replace("distance_to_nucleus BETWEEN 1 AND 10", "distance_to_nucleus IS NOT NULL").replace(
+    "corr(intensity_mean, distance_to_nucleus)",
+    "CASE WHEN min(distance_to_nucleus) < max(distance_to_nucleus) THEN corr(intensity_mean, distance_to_nucleus) END",
+)
+
 # -- plots -------------------------------------------------------------------------------------
 
 
@@ -576,6 +587,25 @@ SELECT genotype, CAST(gx AS INTEGER) AS i, CAST(gy AS INTEGER) AS j, round(lx +
        round(ly + gy * wy / 99, 6) AS y, round(z * 1e6, 6) AS density,
        round(z / max(z) OVER (PARTITION BY genotype), 6) AS ndensity, n FROM s2, l
 """)
+ORACLES["kde_pct_all"] = ORACLES["kde_pct"].replace("volume BETWEEN 0 AND 200", "volume IS NOT NULL")
+ORACLES["violin_all"] = ORACLES["violin"].replace("volume BETWEEN 0 AND 200", "volume IS NOT NULL")
+ORACLES["density2d_all"] = ORACLES["density2d"].replace(
+    "volume BETWEEN 0 AND 200 AND area BETWEEN 0 AND 30", "volume IS NOT NULL AND area IS NOT NULL"
+)
+_ONE_PANEL = _density("panel", "volume IS NOT NULL", False).replace("FROM m WHERE", "FROM (SELECT *, 1 AS panel FROM m) WHERE")
+ORACLES["density_peak"] = with_view(_ONE_PANEL.rpartition("SELECT panel,")[0] + "SELECT round(max(density) * 1e6, 6) AS max FROM y")
+ORACLES["joint_ranges"] = with_view(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS variable, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM m "
+        "WHERE volume IS NOT NULL AND intensity_mean IS NOT NULL"
+        for name, c in {"Volume": "volume", "Intensity Mean": "intensity_mean"}.items()
+    )
+)
+ORACLES["neighbour_distances"] = with_view(
+    f"SELECT {KEYS}, volume AS distance_to_3_nearest_neighbours, "
+    "CASE WHEN channel = '1' THEN area END AS distance_to_5_nearest_neighbours, "
+    "CAST(NULL AS DOUBLE) AS distance_to_9_nearest_neighbours FROM m"
+)
 ORACLES["scatter_data"] = with_view(
     "SELECT image_file, treatment, genotype, round(intensity_mean, 6) AS intensity_mean, distance_to_nucleus, object, "
     "channel, round(ln(intensity_mean), 6) AS log_intensity_mean, "

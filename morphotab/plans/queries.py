@@ -308,6 +308,15 @@ def fill_down_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.fill_down_up(gaps, S.OBJECT_KEYS, [S.VOLUME, S.AREA], [S.CHANNEL])
 
 
+@query
+def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average distances to neighbours, as text, get their short names and become numbers."""
+    m = measurements(spark, sf_dir)
+    text = {3: col(S.VOLUME).cast("string"), 5: F.when(col(S.CHANNEL) == "1", col(S.AREA).cast("string")).otherwise("none"), 9: F.lit(None).cast("string")}
+    named = {f"Average Distance To {k} Nearest Neighbours": c for k, c in text.items()}
+    return clean.rename_neighbour_distances(m.select(*cols(S.KEYS), *[c.alias(n) for n, c in named.items()]))
+
+
 # -- integrity ---------------------------------------------------------------------------------
 
 query(lambda spark, sf_dir: quality.unexpected_labels(measurements(spark, sf_dir)), "unexpected_labels")
@@ -411,6 +420,11 @@ def sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.sample_points(measurements(spark, sf_dir), S.KEYS, 0.3)
 
 
+@query
+def sample_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.sample_exactly(measurements(spark, sf_dir), [S.OBJECT, S.CHANNEL], S.KEYS, points=500)
+
+
 # -- profiles and tests ------------------------------------------------------------------------
 
 
@@ -450,12 +464,24 @@ def avg_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.average_ranks(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
 
 
+@query
+def avg_rank_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks from some hundreds of ranges."""
+    return ranks.average_ranks(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], most=20)
+
+
 @query
 def kruskal(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = hypothesis.kruskal(measurements(spark, sf_dir), S.INTENSITY_MEAN, S.GENOTYPE, S.OBJECT)
     return report.withColumnsRenamed({"p-value": "p_text", "corrected p-value": "corrected_p_text"})
 
 
+@query
+def kruskal_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = hypothesis.kruskal(measurements(spark, sf_dir), S.INTENSITY_MEAN, S.GENOTYPE, S.OBJECT, most=20)
+    return report.withColumnsRenamed({"p-value": "p_text", "corrected p-value": "corrected_p_text"})
+
+
 @query
 def anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = hypothesis.anova(measurements(spark, sf_dir), S.INTENSITY_MEAN, S.TREATMENT, S.OBJECT)
@@ -470,6 +496,12 @@ def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumnRenamed("p-value", "p_text")
 
 
+@query
+def pearson_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = hypothesis.pearson(measurements(spark, sf_dir), S.INTENSITY_MEAN, DISTANCE, [S.OBJECT, S.CHANNEL])
+    return report.withColumnRenamed("p-value", "p_text")
+
+
 # -- plots -------------------------------------------------------------------------------------
 
 
@@ -507,6 +539,34 @@ def density2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _micro(density.density2d(data, S.VOLUME, S.AREA, S.GENOTYPE, (0.0, 200.0), (0.0, 30.0)))
 
 
+@query
+def kde_pct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.binned_percent(measurements(spark, sf_dir), S.VOLUME, S.GENOTYPE, S.OBJECT)
+
+
+@query
+def violin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(density.violin(measurements(spark, sf_dir), S.VOLUME, S.GENOTYPE, S.TREATMENT))
+
+
+@query
+def density2d_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _micro(density.density2d(measurements(spark, sf_dir), S.VOLUME, S.AREA, S.GENOTYPE))
+
+
+@query
+def density_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper end of an automatic density axis, in millionths."""
+    peak = density.density_peak(measurements(spark, sf_dir), S.VOLUME, S.GENOTYPE)
+    return peak.withColumn("Max", col("Max") * 1e6)
+
+
+@query
+def joint_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automatic ranges of a scatter plot: over the rows that have both variables."""
+    return select.finite_range(measurements(spark, sf_dir), [S.VOLUME, S.INTENSITY_MEAN], jointly=True)
+
+
 def _micro(df: DataFrame) -> DataFrame:
     """Densities in millionths, so that rounding keeps their digits."""
     return df.withColumn("density", F.col("density") * 1e6)

@@ -87,3 +87,12 @@ def test_tails_agree(f, n):
 def test_tail_of_many_degrees_of_freedom_is_normal():
     assert close(tails.t_sf_two_sided(1.96, 10**9), math.erfc(1.96 / math.sqrt(2)), 1e-6)
     assert close(tails.chi2_sf_1df(3.841458820694124), 0.05, 1e-9)
+
+
+def test_pearson_without_spread(spark):
+    """A facet in which one variable is constant, or of too few points, is listed without an estimate."""
+    rows = [("flat", float(k), 0.0) for k in range(5)] + [("two", 1.0, 2.0), ("two", 2.0, 3.0)] + [("line", float(k), 2.0 * k) for k in range(4)]
+    df = frame(spark, {"s": "s", "x": "d", "y": "d"}, rows)
+    got = {r["s"]: (r["estimate"], r["n"], r["p_value"]) for r in hypothesis.pearson(df, "x", "y", ["s"]).collect()}
+    assert got["flat"] == (None, 5, None) and got["two"] == (None, 2, None)
+    assert abs(got["line"][0] - 1) < 1e-12 and got["line"][1] == 4 and got["line"][2] < 1e-9
