@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from morphotab import schema as S
 from morphotab.functions.columns import col, cols
+from morphotab.sources.shared import written
 
 
 def unexpected_labels(df: DataFrame, accepted: Sequence[str] = tuple(S.ACCEPTED_OBJECTS)) -> DataFrame:
@@ -40,6 +41,41 @@ def null_channel_rows(df: DataFrame) -> DataFrame:
     return df.where(missing).select(col(S.IMAGE), col(S.OBJECT_ID))
 
 
+class Integrity:
+    """The five reports as by-products of one pass over the table.
+
+    The pass counts rows and known values by (image, object); rows without a channel keep their object id as a key of their own, so
+    that they can be listed. Its result, as small as the number of groups, is written to the shared folder, and each report reads that.
+    The reports equal the functions above.
+    """
+
+    def __init__(self, df: DataFrame):
+        missing = col(S.CHANNEL).isNull() | (col(S.CHANNEL) == S.MISSING_CHANNEL)
+        self.columns = [c for c in df.columns if c != S.IMAGE]
+        keys = [col(S.IMAGE), col(S.OBJECT), missing.alias("_missing"), F.when(missing, col(S.OBJECT_ID)).alias("_id")]
+        known = [F.count(col(c)).alias(f"_c{i}") for i, c in enumerate(self.columns)]
+        self.groups = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *known), "integrity")
+
+    def rows(self) -> DataFrame:
+        """Number of rows and of images."""
+        return self.groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.countDistinct(col(S.IMAGE)).alias("images"))
+
+    def unexpected_labels(self, accepted: Sequence[str] = tuple(S.ACCEPTED_OBJECTS)) -> DataFrame:
+        return unexpected_labels(self.groups, accepted)
+
+    def images_without_object(self, label: str) -> DataFrame:
+        return images_without_object(self.groups, label)
+
+    def images_with_null_column(self) -> DataFrame:
+        totals = self.groups.groupBy(col(S.IMAGE)).agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(self.columns))])
+        return totals.where(F.least(F.lit(1), *[F.col(f"_c{i}") for i in range(len(self.columns))]) == 0).select(col(S.IMAGE))
+
+    def null_channel_rows(self) -> DataFrame:
+        """As many rows as the table has."""
+        rows = self.groups.where("_missing").withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+        return rows.select(col(S.IMAGE), F.col("_id").alias(S.OBJECT_ID))
+
+
 def eligible_references(df: DataFrame) -> DataFrame:
     """Objects that measurements can be normalised to.
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphotab.functions.columns import categorical_columns, col, cols, numeric_columns
 from morphotab.functions.nulls import is_finite
 from morphotab.schema import CHANNEL, OBJECT_ID
+from morphotab.sources.shared import written
+
+IN_LIST = 1000
 
 
 def level_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -21,10 +25,22 @@ def level_lists(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def select_levels(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Rows whose value is among the chosen levels, in every column named."""
+def select_levels(df: DataFrame, levels: Mapping[str, Sequence[str] | DataFrame], most: int = IN_LIST) -> DataFrame:
+    """Rows whose value is among the chosen levels, in every column named.
+
+    Up to `most` levels are a predicate that reaches the scan. More of them, or the first column of a table, become a table
+    in the shared folder that the rows meet in a semi-join: the planner knows its size, broadcasts it if that is small, and else
+    joins by shuffle, with the Bloom filter that it builds from the smaller side. NULL is no level.
+    """
     for name, chosen in levels.items():
-        df = df.where(col(name).isin(list(chosen)))
+        if not isinstance(chosen, DataFrame) and len(chosen) <= most:
+            df = df.where(col(name).isin(list(chosen)))
+            continue
+        if not isinstance(chosen, DataFrame):
+            chosen = df.sparkSession.createDataFrame(pd.DataFrame({"level": list(chosen)}), "level string")
+        table = chosen.select(col(chosen.columns[0]).cast("string").alias("_level")).where("_level IS NOT NULL").distinct()
+        table = written(table, "levels")
+        df = df.join(table, col(name) == F.col("_level"), "left_semi")
     return df
 
 

@@ -13,6 +13,7 @@ from morphotab.functions.skew import join_facets
 from morphotab.operators.ranks import key_columns
 from morphotab.operators.select import dedup_group_values, lift_zeros
 from morphotab.operators.selection import FINISH, quantiles
+from morphotab.sources.shared import written
 
 # The family of a numeric column by its name, first match wins.
 # (label, pattern, whether names that begin with Ratio or Group are left to later families)
@@ -82,6 +83,54 @@ def profile_categorical(
     )
 
 
+def profile_state(df: DataFrame, by: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """What a profile needs of each level of `by`, in a form that adds up: `by`, Variable, and
+
+    rows, known, mean and squares (sum of squared deviations) of numeric columns; rows, known and a distinct-count sketch of
+    string columns. Stored for each image, a profile of any set of images is a merge of their states, and adding or
+    removing an image reads that image only.
+    """
+    numeric = [c for c in (columns or numeric_columns(df)) if c in numeric_columns(df)]
+    text = [c for c in (columns or categorical_columns(df, with_id=True)) if c in categorical_columns(df, with_id=True)]
+    aggs, parts = [], []
+    for i, c in enumerate([*numeric, *text]):
+        aggs += [F.count(finite(col(c).cast("double")) if c in numeric else col(c)).alias(f"known_{i}")]
+        fields = [F.lit(c).alias("Variable"), F.col("_rows").alias("rows"), F.col(f"known_{i}").alias("known")]
+        if c in numeric:
+            x = finite(col(c).cast("double"))
+            aggs += [F.avg(x).alias(f"mean_{i}"), (F.var_pop(x) * F.count(x)).alias(f"squares_{i}")]
+            fields += [F.col(f"mean_{i}").alias("mean"), F.col(f"squares_{i}").alias("squares"), F.lit(None).cast("binary").alias("levels")]
+        else:
+            aggs += [F.hll_sketch_agg(col(c)).alias(f"levels_{i}")]
+            fields += [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("squares"), F.col(f"levels_{i}").alias("levels")]
+        parts.append(F.struct(*fields))
+    found = df.groupBy(col(by)).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    return found.select(col(by), F.explode(F.array(*parts)).alias("p")).select(col(by), "p.*")
+
+
+def merged_profile(states: DataFrame) -> DataFrame:
+    """Profile of all states together: Variable, Missing, Mean, SD of numeric columns, approximate Levels of string columns."""
+    valued = F.when(F.col("mean").isNotNull(), F.col("known"))
+    # one row for each variable: the centre that the second sum is taken around
+    centres = states.groupBy("Variable").agg(F.try_divide(F.sum(valued * F.col("mean")), F.sum(valued)).alias("_centre"))
+    around = states.join(written(centres, "centres"), "Variable")
+    total = around.groupBy("Variable").agg(
+        F.sum("rows").alias("_rows"),
+        F.sum("known").alias("_known"),
+        F.max("_centre").alias("Mean"),
+        F.sum(F.col("squares") + F.col("known") * F.pow(F.col("mean") - F.col("_centre"), 2)).alias("_squares"),
+        F.count("levels").alias("_sketches"),
+        F.hll_union_agg("levels").alias("_levels"),
+    )
+    return total.select(
+        "Variable",
+        (1 - F.try_divide("_known", "_rows")).alias("Missing"),
+        "Mean",
+        F.when(F.col("_known") > 1, F.sqrt(F.try_divide(F.col("_squares"), F.col("_known") - 1))).alias("SD"),
+        F.when(F.col("_sketches") > 0, F.hll_sketch_estimate("_levels")).alias("Levels"),
+    )
+
+
 def boxplot_summary_group(df: DataFrame, value: str, fill: str, split: str, **how) -> DataFrame:
     """Box summary of a variable that repeats its group's value on every object: each group counts once, zeros are lifted."""
     return boxplot_summary(lift_zeros(dedup_group_values(df), value), value, fill, split, **how)

@@ -287,6 +287,23 @@ ORACLES["images_with_null_column"] = _on_derived(
 ORACLES["null_channel_rows"] = with_view(
     "SELECT image_file, object_id FROM m WHERE treatment IN ('ASIA', 'EUROPE')"
 )
+_MISSING_COLUMNS = "category, genotype, treatment, object, object_id, channel, intensity_sum, intensity_mean, intensity_stddev, volume, area, distance_to_nucleus"
+ORACLES["integrity_all"] = with_view(
+    """
+, q AS (SELECT * REPLACE (CASE WHEN treatment = 'ASIA' THEN 'NA' WHEN treatment <> 'EUROPE' THEN channel END AS channel,
+                          CASE WHEN object <> 'PROMO' THEN area END AS area,
+                          CASE WHEN NOT ends_with(image_file, '7') THEN volume END AS volume) FROM m)
+SELECT DISTINCT 'label' AS report, image_file, object AS detail FROM q WHERE object NOT IN ("""
+    + ", ".join(f"'{t}'" for t in S.ACCEPTED_OBJECTS)
+    + f""")
+UNION ALL SELECT 'no centre of mass', image_file, NULL FROM q GROUP BY image_file HAVING NOT bool_or({_IS_CENTER})
+UNION ALL SELECT 'no reference', image_file, NULL FROM q GROUP BY image_file HAVING NOT bool_or({_IS_REF})
+UNION ALL SELECT 'empty column', image_file, NULL FROM q GROUP BY image_file HAVING least("""
+    + ", ".join(f"count({c.strip()})" for c in _MISSING_COLUMNS.split(","))
+    + """) = 0
+UNION ALL SELECT 'no channel', image_file, object_id FROM q WHERE channel IS NULL OR channel = 'NA'
+"""
+)
 ORACLES["eligible_references"] = with_view("""
 , e AS (SELECT image_file, channel, object, category FROM m
         UNION ALL SELECT image_file, channel, 'Envelope', category FROM m WHERE object = 'Nucleus'),
@@ -305,6 +322,10 @@ ORACLES["select_levels"] = with_view(
     f"{_ROW} WHERE object IN ('PROMO', 'LARGE', 'Nucleus') AND treatment IN ('ASIA', 'AFRICA') "
     "AND genotype = 'WT' AND channel = '1'"
 )
+ORACLES["select_many_levels"] = with_view(
+    f"{_ROW} WHERE image_file IN (SELECT 'img_' || s_suppkey FROM supplier WHERE s_acctbal > 3000) AND channel = '1' "
+    "AND try_cast(object_id AS INTEGER) BETWEEN 0 AND 99999 AND CAST(object_id AS INTEGER) % 2 = 0"
+)
 ORACLES["select_numeric"] = with_view(f"SELECT {KEYS}, round(intensity_sum, 6) AS intensity_sum, volume FROM m")
 ORACLES["range_filter"] = with_view(f"{_ROW} WHERE volume BETWEEN 20 AND 80")
 ORACLES["range_filter_channel"] = with_view(f"{_ROW} WHERE channel <> '1' OR volume BETWEEN 20 AND 80")
@@ -371,6 +392,13 @@ ORACLES["profile_numeric"] = _on_derived(
         for name, (c, family) in _PROFILED.items()
     )
 )
+ORACLES["profile_merged"] = with_view(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS variable, round(1 - count({c}) / count(*), 6) AS missing, "
+        f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd FROM m WHERE genotype = 'WT'"
+        for name, c in _DISPLAY.items()
+    )
+)
 ORACLES["profile_categorical"] = with_view(
     " UNION ALL ".join(
         f"SELECT '{name}' AS variable, count(DISTINCT {c}) AS levels, round(1 - count({c}) / count(*), 6) AS missing FROM m"

@@ -347,6 +347,25 @@ def null_channel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.null_channel_rows(m.withColumn(S.CHANNEL, channel))
 
 
+@query
+def integrity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five reports from one pass, in long form; objects without a channel as often as they occur."""
+    m = measurements(spark, sf_dir)
+    channel = F.when(col(S.TREATMENT) == "ASIA", F.lit("NA")).when(col(S.TREATMENT) != "EUROPE", col(S.CHANNEL))
+    area = F.when(col(S.OBJECT) != "PROMO", col(S.AREA))
+    checked = m.withColumns({S.CHANNEL: channel, S.AREA: area, S.VOLUME: F.when(~col(S.IMAGE).endswith("7"), col(S.VOLUME))})
+    found = quality.Integrity(checked)
+    reports = {
+        "label": found.unexpected_labels().select(col(S.IMAGE), col(S.OBJECT).alias("detail")),
+        "no centre of mass": found.images_without_object(S.CENTER_OF_MASS),
+        "no reference": found.images_without_object(REF),
+        "empty column": found.images_with_null_column(),
+        "no channel": found.null_channel_rows().select(col(S.IMAGE), col(S.OBJECT_ID).alias("detail")),
+    }
+    out = clean.union_rows([df.withColumn("report", F.lit(name)) for name, df in reports.items()])
+    return out.select("report", col(S.IMAGE), "detail")
+
+
 @query
 def eligible_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measurements(spark, sf_dir)
@@ -368,6 +387,14 @@ def select_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.select_levels(measurements(spark, sf_dir), chosen)
 
 
+@query
+def select_many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images chosen by a table, and objects by a list too long for a predicate."""
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.concat(F.lit("img_"), F.col("s_suppkey")))
+    ids = [str(k) for k in range(0, 100_000, 2)]
+    return select.select_levels(measurements(spark, sf_dir), {S.IMAGE: rich, S.OBJECT_ID: ids, S.CHANNEL: ["1"]})
+
+
 @query
 def select_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.select_numeric(measurements(spark, sf_dir), [S.VOLUME, S.INTENSITY_SUM])
@@ -435,6 +462,14 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.profile_numeric(full)
 
 
+@query
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of all images but those of one genotype, from states kept for each image."""
+    m = measurements(spark, sf_dir)
+    kept = summary.profile_state(m, S.IMAGE, MEASURES).join(m.where(col(S.GENOTYPE) == "WT").select(col(S.IMAGE)).distinct(), S.IMAGE, "left_semi")
+    return summary.merged_profile(kept).drop("Levels")
+
+
 @query
 def profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.profile_categorical(measurements(spark, sf_dir))

@@ -1,6 +1,8 @@
+from pyspark.sql import functions as F
 from helpers import GOLDEN, close, frame, table
 
 from morphotab import schema as S
+from morphotab.functions.columns import col
 from morphotab.operators import bins, plotdata, quality, select, summary
 
 
@@ -124,3 +126,53 @@ def test_profiles(spark):
     assert levels[S.OBJECT] == (3, 0.0) and levels[S.OBJECT_ID] == (4, 0.0)
     rough = {r["Variable"]: r["Levels"] for r in summary.profile_categorical(df, approximate=True).collect()}
     assert rough[S.OBJECT] == 3
+
+
+def test_many_levels_are_a_semi_join(spark):
+    """100,000 chosen levels, as a list or a table, with NULL and repeats: no literal list, and a join that fits their size."""
+    df = spark.range(0, 300_000, 3).selectExpr("CASE WHEN id % 9 = 0 THEN NULL ELSE CAST(id AS STRING) END k", "id")
+    chosen = [str(k) for k in range(200_000, 300_000)] + [None, "200001"]
+    out = select.select_levels(df, {"k": chosen})
+    expected = {k for k in range(0, 300_000, 3) if k % 9 and k >= 200_000}
+    assert {r["id"] for r in out.collect()} == expected and out.columns == df.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan and "199999" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        large = select.select_levels(df, {"k": spark.createDataFrame([(c,) for c in chosen[::-1]], "k string")})
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan and "BroadcastHashJoin" not in plan and {r["id"] for r in large.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert select.select_levels(df, {"k": ["3", "6"]}).count() == 2
+
+
+def test_integrity_reads_the_table_once(spark):
+    """All reports equal the separate ones, and only the counts are read again."""
+    base = table(spark, GOLDEN)
+    df = base.withColumn(S.CHANNEL, F.when(col(S.OBJECT) == "CC", F.lit("NA")).otherwise(F.when(col(S.OBJECT_ID) != "9", col(S.CHANNEL))))
+    df = df.unionByName(df.where(col(S.OBJECT) == "CC")).unionByName(base.withColumns({S.IMAGE: F.lit("B"), S.OBJECT: F.lit("odd"), S.AREA: F.lit(None).cast("double")}))
+    found = quality.Integrity(df)
+    rows = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
+    assert rows(found.unexpected_labels()) == rows(quality.unexpected_labels(df))
+    assert rows(found.images_without_object(S.NUCLEUS)) == rows(quality.images_without_object(df, S.NUCLEUS)) == ["('B',)"]
+    assert rows(found.images_with_null_column()) == rows(quality.images_with_null_column(df)) == ["('B',)"]
+    assert rows(found.null_channel_rows()) == rows(quality.null_channel_rows(df)) and found.null_channel_rows().count() == 7
+    assert tuple(found.rows().first()) == (df.count(), 2)
+    empty = quality.Integrity(df.limit(0))
+    assert empty.null_channel_rows().count() == 0 and tuple(empty.rows().first()) == (0, 0)
+
+
+def test_profiles_merge(spark):
+    df = spark.range(3000).selectExpr("CAST(id % 7 AS STRING) image", "CASE WHEN id % 5 > 0 THEN 1e6 + id END x", "CASE WHEN id % 7 < 6 THEN NULL ELSE 1D END y", "CAST(id % 40 AS STRING) s")
+    states = summary.profile_state(df, "image")
+    assert states.count() == 7 * 4
+    merged = {r["Variable"]: r for r in summary.merged_profile(states.repartition(3)).collect()}
+    for r in summary.profile_numeric(df).collect():
+        m = merged[r["Variable"]]
+        assert all(abs(m[c] - r[c]) < 1e-9 * max(1, abs(r[c])) for c in ("Missing", "Mean", "SD")) and m["Levels"] is None
+    assert merged["s"]["Levels"] == 40 and merged["s"]["Mean"] is None and merged["image"]["Levels"] == 7
+    some = summary.merged_profile(states.where("image <> '3'"))
+    wanted = summary.profile_numeric(df.where("image <> '3'"), ["x"]).first()
+    got = some.where("Variable = 'x'").first()
+    assert abs(got["SD"] - wanted["SD"]) < 1e-9 * wanted["SD"]
