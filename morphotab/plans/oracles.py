@@ -315,6 +315,20 @@ SELECT object FROM s GROUP BY object
 HAVING count(*) = (SELECT count(*) FROM (SELECT DISTINCT image_file, channel FROM s))
 """)
 
+ORACLES["declared_variables"] = with_view(
+    f"""
+, r AS (SELECT *, CASE WHEN count(*) FILTER (WHERE {_IS_REF}) OVER ic = 1
+                       THEN max(intensity_sum) FILTER (WHERE {_IS_REF}) OVER ic END AS ref
+        FROM m WINDOW ic AS (PARTITION BY image_file, channel)),
+s AS (SELECT *, intensity_sum / nullif(ref, 0) AS share, {_channel('intensity_mean', '1')} AS one, {_channel('intensity_mean', '2')} AS two
+      FROM r WINDOW ob AS (PARTITION BY image_file, object_id, object, category)),
+t AS (SELECT *, {_strict('sum', 'volume', 'grp')} AS group_volume, {_strict('sum', 'area', 'lab')} AS label_area, {_strict('sum', 'share', 'grp')} AS whole_share
+      FROM s WINDOW grp AS (PARTITION BY image_file, channel, category, object), lab AS (PARTITION BY image_file, object, channel))
+SELECT {KEYS}, round(share / nullif(group_volume, 0), 6) AS dense_share, round(label_area / nullif(area, 0), 6) AS area_of_label,
+       round(one / nullif(two, 0), 6) AS channel_ratio, round(whole_share, 6) AS whole_share FROM t
+"""
+)
+
 # -- selection ---------------------------------------------------------------------------------
 
 _ROW = f"SELECT {KEYS}, {ROUNDED} FROM m"

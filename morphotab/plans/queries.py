@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from morphotab import schema as S
 from morphotab.functions.columns import col, cols, round_doubles, snake_case
-from morphotab.operators import bins, clean, density, hypothesis, outliers, plotdata, quality, ranks, select, summary
+from morphotab.operators import bins, clean, declared, density, hypothesis, outliers, plotdata, quality, ranks, select, summary
 from morphotab.operators.catalog import named
 from morphotab.operators.derive import Ratios, derive, fill_reference_distance, images_with_reference
 from morphotab.plans.measurement_view import DISTANCE, MEASURES, measurements, suppliers, table
@@ -102,6 +102,22 @@ def derive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _off_ties(derive(measurements(spark, sf_dir), None, REF, ALL_RATIOS))
 
 
+OWN_VARIABLES = """{"variables": [
+{"name": "Share", "value": {"of": "Intensity Sum"}, "by": {"of": "Intensity Sum", "as": "reference"}},
+{"name": "Dense Share", "value": {"of": "Share"}, "by": {"of": "Volume", "as": "total"}},
+{"name": "Area of Label", "value": {"of": "Area", "as": "label"}, "by": {"of": "Area"}},
+{"name": "Channel Ratio", "value": {"of": "Intensity Mean", "as": "channel", "channel": "1"}, "by": {"of": "Intensity Mean", "as": "channel", "channel": "2"}},
+{"name": "Whole Share", "value": {"of": "Share", "as": "total"}}
+]}"""
+
+
+@query
+def declared_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own variables, declared as data."""
+    full = declared.derive_declared(measurements(spark, sf_dir), declared.parse_variables(OWN_VARIABLES, REF), reference=REF)
+    return full.select(*cols([*S.KEYS, "Dense Share", "Area of Label", "Channel Ratio", "Whole Share"]))
+
+
 @query
 def fill_ref_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_reference_distance(measurements(spark, sf_dir), REF).select(*cols([*S.KEYS, DISTANCE]))
