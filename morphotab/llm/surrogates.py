@@ -7,7 +7,9 @@ name a country, an issuer or a top-level domain hold), names by names of the sam
 get equal surrogates in all documents; parts of a name are replaced alike wherever they stand in its document.
 
 Distinct values are gathered once. A surrogate that equals any found value of its kind, or that another value has
-too, is drawn again with a higher attempt until none collides; only values with an attempt above 0 are joined back to the
+too, is drawn again with a higher attempt until none collides. After WIDER attempts a format counts as used up, and each further one
+adds a digit to it (IPv4 addresses give up the lengths of their numbers first), so there are more surrogates than values after
+as many attempts more as their number has digits; only values with an attempt above 0 are joined back to the
 documents that hold them, all other surrogates are computed where the text is read.
 
 Null texts stay null and empty ones empty. Rows with equal doc_id are handled each for itself.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from morphotab.llm import text as T
 
+WIDER = 6  # attempts within a value's own format
 KEY = b"surrogate-key"  # of the registered query; a real run gives its own secret
 
 # Forms of address by gender, and names by script and gender.
@@ -69,8 +72,13 @@ class Span(NamedTuple):
 
 
 def _name_parts(text: str) -> list[Span]:
-    out: dict[int, Span] = {}
-    known: dict[str, str] = {}
+    """Names after forms of address, and their parts wherever they stand in the text.
+
+    A part is of one kind in the whole text: a given name if any mention has it before another part, of the gender that
+    some form of address tells, and a surname otherwise.
+    """
+    mentions: list[tuple[int, str]] = []
+    given: dict[str, str] = {}
     for m in NAMED.finditer(text):
         form, parts, at = m[1], m[2].split(" "), m.start(2)
         gender = "m" if form in MALE_FORMS else "f" if form in FEMALE_FORMS else "n"
@@ -78,13 +86,15 @@ def _name_parts(text: str) -> list[Span]:
             parts.pop()
         for k, part in enumerate(parts):
             if part[0].isupper():
-                kind = "surname" if k == len(parts) - 1 else f"given-{gender}"
-                out[at] = Span(at, at + len(part), kind, part)
-                known.setdefault(part, kind)
+                mentions.append((at, part))
+                if k < len(parts) - 1 and given.get(part.capitalize(), "n") == "n":
+                    given[part.capitalize()] = gender
             at += len(part) + 1
-    if known:
+    kind = lambda part: f"given-{given[part.capitalize()]}" if part.capitalize() in given else "surname"
+    out = {at: Span(at, at + len(part), kind(part), part) for at, part in mentions}
+    if known := {part for _, part in mentions}:
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, known), key=len, reverse=True))})(?!\w)", text):
-            out.setdefault(m.start(), Span(m.start(), m.end(), known[m[0]], m[0]))
+            out.setdefault(m.start(), Span(m.start(), m.end(), kind(m[0]), m[0]))
     return list(out.values())
 
 
@@ -126,7 +136,7 @@ def permuted(symbols: list[int], radices: list[int], key: bytes, tweak: str) ->
 def _in_format(value: str, key: bytes, tweak: str, fixed: int = 0, hexadecimal: bool = False) -> str:
     """Letters and digits behind the first `fixed` characters, permuted within their classes."""
     alphabets = {"d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "x": "0123456789abcdef"}
-    hexadecimal = hexadecimal and all(c in alphabets["x"] for c in value)
+    hexadecimal = hexadecimal and all(c in alphabets["x"] for c in value) and any(c.isalpha() for c in value)
     kinds = ["" if i < fixed else "x" if hexadecimal else "d" if c in alphabets["d"] else "l" if c in alphabets["l"] else "u" if c in alphabets["u"] else "" for i, c in enumerate(value)]
     at = [i for i, k in enumerate(kinds) if k]
     shape = value[:fixed] + "".join(k or c for k, c in zip(kinds[fixed:], value[fixed:], strict=True))
@@ -165,6 +175,13 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
     tweak = f"{kind}|{attempt}"
     if kind.startswith(("given", "surname")):
         return _name(kind, value, key, attempt)
+    extra = max(0, attempt - WIDER + 1)  # the format is used up: a wider one
+    if kind == "ip" and 0 < extra <= WIDER:
+        return ".".join(map(str, permuted(list(map(int, value.split("."))), [256] * 4, key, tweak)))
+    if kind == "email":
+        value = value.replace("@", "0" * extra + "@", 1)
+    elif kind != "ip":
+        value += "0" * extra
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
@@ -175,7 +192,7 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
         low = [0 if len(p) == 1 else 10 if len(p) == 2 else 100 for p in parts]
         wide = [10 if len(p) == 1 else 90 if len(p) == 2 else 156 for p in parts]
         new = permuted([int(p) - x for p, x in zip(parts, low, strict=True)], wide, key, f"{tweak}|{wide}")
-        return ".".join(str(n + x) for n, x in zip(new, low, strict=True))
+        return ".".join(str(n + x) for n, x in zip(new, low, strict=True)) + "0" * max(0, extra - WIDER)
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         if int(digits[-1]) == _luhn(digits[:-1]):

@@ -237,6 +237,32 @@ def plain_fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def names_in(text):
+    new, places = surrogates.replaced(text, surrogates.find(text), b"key", {})
+    return [new[a:b] for _, a, b in places]
+
+
+def test_one_person_has_one_surrogate():
+    """Whatever the form of address, and whether the name is given in full; a gender told once holds in the whole text."""
+    jane, stone, again, other = names_in("Mrs. Jane Stone came. Dr. Jane Stone left.")
+    assert (jane, stone) == (again, other)
+    jane, stone, again, other = names_in("Dr. Jane Stone came. Mrs. Jane Stone left.")
+    assert (jane, stone) == (again, other) and [x.kind for x in surrogates.find("Prof. Jane Stone, Ms. Jane Stone")][::2] == ["given-f"] * 2
+    john, smith, again = names_in("Mr. John Smith met Mr. John.")
+    assert john == again != smith
+    (secret,) = names_in("password: 123456")
+    assert secret.isdigit() and len(secret) == 6 and secret != "123456"
+
+
+def test_a_used_up_format_is_widened(spark):
+    """All one-digit addresses and all six-digit secrets of a kind are found: no surrogate of that format is free."""
+    values = [("ip", ".".join(f"{k:04d}")) for k in range(10_000)] + [("ssn", f"{k % 10}") for k in range(10)]
+    out = surrogates.resolved(spark.createDataFrame(values, "kind string, value string")).collect()
+    found = {(r.kind, r.surrogate) for r in out}
+    assert len(out) == len(found) == len(values) and not found & set(values)
+    assert all(0 <= int(p) < 256 for k, v in found if k == "ip" for p in v.split("."))
+
+
 @pytest.mark.parametrize("crowd", [256, 1])
 def test_near_duplicates(spark, docs, rows, empty, crowd):
     rng = np.random.default_rng(9)
