@@ -72,9 +72,9 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool
         encode = tokens.encoder(vocabulary, blanks=False).encode
         end = np.array([tokens.END_ID], "<u4").tobytes()
         sequence, used = TaskContext.get().partitionId() << 32, 0
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, size=tokens.SLICE_BYTES):
             rows = []
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 own += end
                 total, at = len(own) // 4, 0
                 while at < total:

@@ -1,9 +1,11 @@
 """Token ids in files, compressed by Re-Pair.
 
-Documents are sorted by range of doc_id and their ids, each closed by an end id, are gathered into shards of about `shard_ids`
-ids at ends of documents. In a shard, frequent pairs of neighbouring ids are replaced by new symbols, again and again; each
-round takes the most frequent pairs such that no symbol ends one pair and begins another, so that replacements never
-overlap. A shard is one row of a Parquet table in a shared folder:
+Texts are encoded where they are read and stored as 16-bit ids, so that texts are never shuffled. Documents are then sorted by
+range of doc_id and their ids, each closed by an end id, are gathered into shards of about `shard_ids` ids at ends of
+documents. In a shard, frequent pairs of neighbouring ids are replaced by new symbols until no pair stands LEAST times
+without overlap; each round takes the most frequent pairs such that no symbol ends one pair and begins another, so that
+replacements of different pairs never overlap, and in a run of one symbol every other place. A shard is one row of a
+Parquet table in a shared folder:
 
     part, seq, n_ids   place of the shard: range of doc_id, number in it; number of its ids
     doc_ids, lengths   of its documents, 64-bit and 32-bit
@@ -33,11 +35,11 @@ from morphotab.llm import text as T
 from morphotab.llm import tokens
 
 SHARD_IDS = 1 << 21
-ROUNDS = 5
-PAIRS = 1024  # rules of a round at most
+PAIRS = 4096  # rules of a round at most; further pairs wait for the next one
 LEAST = 64  # times a pair occurs, at least
 FIRST = 50_257
 EVERY = 1024
+FEW = 1 << 17  # places whose pairs are counted by sorting
 BINS = 20
 FIELDS = "part long, seq long, n_ids long, doc_ids binary, lengths binary, pairs binary, expansion binary, symbols binary, narrow boolean, places binary"
 
@@ -46,50 +48,85 @@ def _bins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BINS)
 
 
-def _frequent(x: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """The most frequent pairs of neighbours, at most one for each bin, none of which begins with the end of another; the
-    places where they stand, and the number of the pair at each."""
-    bins = _bins(x[:-1], x[1:])
-    counts = np.bincount(bins, minlength=1 << BINS)
-    top = np.flatnonzero(counts >= LEAST)
-    top = top[np.argsort(-counts[top], kind="stable")][: 2 * PAIRS]
-    wanted = np.full(1 << BINS, -1, np.int32)
+def _frequent(x: np.ndarray, live: np.ndarray, exact: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs of neighbours, none of which begins with the end of another; the places to replace, the number of
+    the pair at each, and those of the places `live` whose pairs may be frequent.
+
+    Pairs are counted by hash, and one of each hash is looked at, which is quick while there are many; if `exact`, all are.
+    """
+    if exact:
+        bins = np.unique(x[live].astype(np.uint64) << np.uint64(32) | x[live + 1], return_inverse=True)[1]
+        counts = np.bincount(bins)
+    else:
+        bins = _bins(x[live], x[live + 1])
+        counts = np.bincount(bins, minlength=1 << BINS)
+    crowded = counts >= LEAST
+    on = crowded[bins]
+    live, bins = live[on], bins[on]
+    top = np.flatnonzero(crowded)
+    if not exact:
+        top = top[np.argsort(-counts[top], kind="stable")][: 2 * PAIRS]
+    wanted = np.full(len(counts), -1, np.int32)
     wanted[top] = np.arange(len(top), dtype=np.int32)
     rank = wanted[bins]
-    at = np.flatnonzero(rank >= 0)
-    rank = rank[at]
+    at, rank = live[rank >= 0], rank[rank >= 0]
     place = np.zeros(len(top), np.int64)
-    place[rank] = at  # some pair of each bin, nearly always its most frequent
+    place[rank] = at  # some pair of each hash, nearly always its most frequent
     left, right = x[place], x[place + 1]
-    same = (x[at] == left[rank]) & (x[at + 1] == right[rank])
-    at, rank = at[same], rank[same]
+    good = (x[at] == left[rank]) & (x[at + 1] == right[rank])
+    good &= ~_overlapping(at, (left == right)[rank] & good)
+    at, rank = at[good], rank[good]
     n = np.bincount(rank, minlength=len(top))
     out, firsts, seconds = [], set(), set()
     number = np.full(len(top), -1, np.int32)
     for k, a, b, j in sorted(zip(n.tolist(), left.tolist(), right.tolist(), range(len(top)), strict=True), reverse=True):
-        if k >= LEAST and a != b and a not in seconds and b not in firsts and len(out) < PAIRS:
+        if k < LEAST or len(out) == PAIRS:
+            break
+        if a not in seconds and b not in firsts and (a != b or a not in firsts and a not in seconds):
             number[j] = len(out)
             out.append((a, b))
             firsts.add(a)
             seconds.add(b)
     number = number[rank]
-    return out, at[number >= 0], number[number >= 0]
+    return out, at[number >= 0], number[number >= 0], live
+
+
+def _overlapping(at: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Which of the places `at` begin at the second symbol of a pair of two alike symbols that is itself replaced."""
+    out = np.zeros(len(at), bool)
+    mine = np.flatnonzero(alike)
+    if len(mine):
+        place, k = at[mine], np.arange(len(mine))
+        new = np.ones(len(mine), bool)
+        new[1:] = np.diff(place) != 1  # neighbouring places of alike pairs hold one symbol
+        out[mine] = (k - np.maximum.accumulate(np.where(new, k, 0))) % 2 == 1
+    return out
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """What is left of the ids, and the rules' pairs (n, 2)."""
+def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of the ids, and the rules' pairs (n, 2); no pair stands LEAST times in what is left."""
     x, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(x) < 2 or FIRST + len(rules) + PAIRS >= 1 << 20:
-            break
-        new, at, number = _frequent(x)
+    live = np.arange(len(x) - 1)  # a pair that is not frequent never gets so, hence only pairs beside new symbols join
+    exact = False
+    while len(live):
+        new, at, number, live = _frequent(x, live, exact := exact or len(live) < FEW)
         if not new:
-            break
+            if exact:
+                break
+            exact = True
+            continue
         x[at] = (FIRST + len(rules) + number).astype(np.uint32)
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
-        x = x[keep]
+        mine = np.zeros(len(x), bool)
+        mine[live] = True
+        x, mine = x[keep], mine[keep]
+        at = at - np.arange(len(at))
+        mine[at] = True
+        mine[at[at > 0] - 1] = True
+        live = np.flatnonzero(mine[:-1])
         rules += new
+        exact = False
     return x, np.array(rules, np.uint32).reshape(-1, 2)
 
 
@@ -114,7 +151,7 @@ def expand(symbols: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 
 def _shard(seq: int, doc_ids: list, ids: list[bytes]) -> tuple:
-    x, pairs = compress(np.frombuffer(b"".join(ids), "<u4"))
+    x, pairs = compress(np.frombuffer(b"".join(ids), "<u2"))
     size = expansions(pairs)
     each = np.ones(len(x), np.int64)
     big = x >= FIRST
@@ -122,31 +159,37 @@ def _shard(seq: int, doc_ids: list, ids: list[bytes]) -> tuple:
     places = (np.cumsum(each) - each)[::EVERY]
     narrow = not len(x) or int(x.max()) < 1 << 16
     named = np.array([-1 << 63 if d is None else d for d in doc_ids], "<i8")
-    lengths = np.array([len(i) // 4 for i in ids], "<u4")
+    lengths = np.array([len(i) // 2 for i in ids], "<u4")
     return (TaskContext.get().partitionId(), seq, int(lengths.astype(np.int64).sum()), named.tobytes(), lengths.tobytes(), pairs.astype("<u4").tobytes(), size.astype("<u4").tobytes(), x.astype("<u2" if narrow else "<u4").tobytes(), narrow, places.astype("<u8").tobytes())
 
 
 def write_shards(docs: DataFrame, vocabulary: str, path: str, shard_ids: int = SHARD_IDS) -> None:
     """Writes the shards of all documents to `path`, in ascending doc_id order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary, blanks=True).encode
-        end = np.array([tokens.END_ID], "<u4").tobytes()
+        end = np.array([tokens.END_ID], "<u2").tobytes()
+        for batch in T.slices(batches, size=tokens.SLICE_BYTES):
+            ids = [np.frombuffer(own, "<u4").astype("<u2").tobytes() + end for own in encode(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FIELDS.split(", ")]
         row = lambda seq: pa.RecordBatch.from_pylist([dict(zip(names, _shard(seq, doc_ids, ids), strict=True))])
         doc_ids, ids, size, seq = [], [], 0, 0
-        for batch in T.slices(batches):
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+        for batch in batches:
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(own + end)
-                size += len(own) // 4 + 1
+                ids.append(own)
+                size += len(own) // 2
                 if size >= shard_ids:
                     yield row(seq)
                     doc_ids, ids, size, seq = [], [], 0, seq + 1
         if doc_ids:
             yield row(seq)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, "doc_id long, ids binary")
+    ordered = T.stored(ids, "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, FIELDS).write.option("compression", "zstd").parquet(path)
 
 

@@ -66,8 +66,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` in pieces of about SLICE_BYTES of text, one row at least; a null text becomes empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in pieces of about `size` bytes of text, one row at least; a null text becomes empty."""
     for batch in batches:
         k = batch.schema.get_field_index(column)
         batch = batch.set_column(k, column, pc.fill_null(batch.column(k), ""))
@@ -75,7 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(sizes, before + size, "right")))
             yield batch.slice(at, end - at)
             at = end
 

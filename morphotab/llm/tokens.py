@@ -7,27 +7,68 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from morphotab.llm import text as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
-TOGETHER = 64
+TOGETHER = 256
+SLICE_BYTES = 6 << 20  # text encoded in one step; the more, the fewer its distinct pieces to the byte
 CACHE = 400_000  # pieces in each of the two generations that a worker remembers
 #: Blanks and controls that libraries take for white space or not; texts with any of them are encoded in one piece.
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A run of letters ends a piece where punctuation follows, else a piece ends at the next blank.
-_WITH_BLANKS = re.compile(rf"[ \n\t\r]*+[{_LETTERS}]++(?=[.,!?%&*#$|])|[ \n\t\r]*+[^ \n\t\r]++|[ \n\t\r]+")
-_WORDS = re.compile(rf"[{_LETTERS}]++(?=[.,!?%&*#$|])|[^ \n\t\r]+")
-_PLAIN = re.compile(rf"[{_LETTERS}]+").fullmatch
+#: Bytes with which such characters begin; texts without any need no look at their characters.
+_MAYBE_ODD = np.zeros(256, bool)
+_MAYBE_ODD[[*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \n\t\r")] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?%&*#$|")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of the letters A-Z, a-z and of Latin-1, two bytes each in UTF-8."""
+    out = _LETTER[data]
+    lead = np.flatnonzero(data == 0xC3)
+    if len(lead):
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs for times and divided by
+        out[lead] = out[lead + 1] = True
+    return out
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin in rows of UTF-8 text: a word with the blanks before it, or blanks at a row's end.
+
+    A word that is letters up to a punctuation mark is cut before the mark.
+    """
+    blank = _BLANK[data]
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    letter = _letters(data)
+    other = np.flatnonzero(~(letter | blank))
+    if len(other):
+        own = np.cumsum(first, dtype=np.int32)[other]
+        change = np.ones(len(own), bool)
+        change[1:] = own[1:] != own[:-1]
+        other = other[change]  # the first byte of a piece that is neither letter nor blank
+        cut = other[_MARK[data[other]] & ~first[other]]
+        first[cut[letter[cut - 1]]] = True
+    return np.flatnonzero(first)
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
     Pre-tokenizers never join what stands before a blank with the blank, nor letters with punctuation behind them, so a
-    text's ids are those of its pieces: words, with the blanks before them unless the tokenizer drops blanks. Pieces that
+    text's ids are those of its pieces: words, with the blanks before them unless the tokenizer drops blanks. The distinct
+    pieces of a slice are found by Arrow's dictionary encoding, without a string for each word. Those that
     the worker has not met lately are encoded some together, as one text, and told apart by the lengths of their tokens or by
     the mark that a token at a word's end carries.
     """
@@ -42,7 +83,6 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte-level token has a character for each byte
             self.sizes[i] = len(token) if blanks else token.endswith("</w>")
-        self.pieces = (_WITH_BLANKS if blanks else _WORDS).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -74,31 +114,48 @@ class Encoder:
         hard = list(rest.difference(easy))
         self.known.update(zip(hard, self._each(hard), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _regular(self, column: pa.Array) -> list[bytes]:
+        """Ids of texts that can be cut into pieces."""
+        data, offsets = T.utf8(column)
+        starts = pieces(data, offsets)
+        if not self.blanks:
+            kept = ~_BLANK[data]
+            before = np.concatenate(([0], np.cumsum(kept)))
+            data, offsets, starts = data[kept], before[offsets], before[starts]
+            starts = starts[np.append(starts[1:], len(data)) > starts]
+        spans = np.append(starts, len(data)).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        distinct, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        ids = list(map(self.known.get, distinct))
+        holes = [k for k, i in enumerate(ids) if i is None]
+        self._learn({distinct[k] for k in holes})
+        for k in holes:
+            ids[k] = self.known[distinct[k]]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, place = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        size, place = size[which], place[which]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        raw = flat[np.repeat(place - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        rows = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+        return [raw[a:b] for a, b in zip(rows, rows[1:], strict=False)]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array without nulls."""
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        get = self.known.get
-        found: list[list[bytes | None] | None] = []
-        holes: list[list[tuple[int, str]]] = []  # where pieces of a text are not known yet
-        for text in texts:
-            if _ODD.search(text):
-                found.append(None)
-                holes.append([])
-                continue
-            pieces = self.pieces(text)
-            ids = list(map(get, pieces))
-            found.append(ids)
-            holes.append([(k, p) for k, (p, i) in enumerate(zip(pieces, ids, strict=True)) if i is None] if None in ids else [])
-        self._learn({p for h in holes for _, p in h})
-        whole = iter(self._each([t for t, ids in zip(texts, found, strict=True) if ids is None]))
-        out = []
-        for ids, hole in zip(found, holes, strict=True):
-            if ids is None:
-                out.append(next(whole))
-                continue
-            for k, p in hole:
-                ids[k] = get(p)
-            out.append(b"".join(ids))
+        data, offsets = T.utf8(column)
+        maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_ODD[data]), "right") - 1)
+        texts = {k: column[k].as_py() for k in maybe.tolist()}
+        odd = [k for k, t in texts.items() if _ODD.search(t)]
+        if not odd:
+            return self._regular(column)
+        regular = np.ones(len(column), bool)
+        regular[odd] = False
+        out: list[bytes] = [b""] * len(column)
+        for k, ids in zip(odd, self._each([texts[k] for k in odd]), strict=True):
+            out[k] = ids
+        for k, ids in zip(np.flatnonzero(regular).tolist(), self._regular(column.filter(pa.array(regular))), strict=True):
+            out[k] = ids
         return out
 
 

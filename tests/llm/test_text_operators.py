@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -158,6 +159,32 @@ def test_repair_files(spark, docs, rows, empty, tmp_path):
     assert repair_codec.round_trip(empty, name).count() == 0
 
 
+@pytest.mark.parametrize(("name", "blanks"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_equals_the_plain_tokenizer(name, blanks):
+    parts = [" ", "  ", "\n", "\t", "a", "Bc", "é", "×", "÷", "ÿ", ".", ",", "!", "|", "-", "'s", "漢", "x1", "€", "\x0b", "\u00a0", "ß", "Word", "Ω"]
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "\n\n", *("".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)), "word " * 50_000]
+    encoder = tokens.Encoder(public_tokenizers.path(name), blanks)
+    wanted = [np.array(encoder.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    column = pa.array(texts)
+    assert encoder.encode(column) == wanted
+    assert encoder.encode(column.slice(7, 900)) == wanted[7:907]  # again, from what it knows
+    assert encoder.encode(column.slice(0, 0)) == []
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    for ids in (np.full(50_000, 7), np.tile([3, 3, 5], 4000), rng.integers(0, 4, 60_000), rng.zipf(1.3, 60_000) % 500, np.zeros(1), np.zeros(0)):
+        x, pairs = repair_codec.compress(ids.astype("<u4"))
+        assert (repair_codec.expand(x, pairs) == ids).all()
+        counts, last = Counter(), {}
+        for k, pair in enumerate(itertools.pairwise(x.tolist())):
+            if last.get(pair) != k - 1 or pair[0] != pair[1]:
+                counts[pair] += 1
+                last[pair] = k
+        assert max(counts.values(), default=0) < repair_codec.LEAST
+
+
 def test_repair_random_access():
     rng = np.random.default_rng(1)
     ids = rng.choice(np.arange(3, 40), 20_000, p=np.array([0.5, *[0.5 / 36] * 36])).astype("<u4")
