@@ -5,7 +5,7 @@ Shape of the plan, whatever the number of variables:
 1. one aggregation of the table to (image, channel, category, object) groups,
    with map-side combine, so a huge image or group costs no task more than another;
 2. windows over that small group table for reference values and group totals;
-3. for channel ratios, one aggregation to objects;
+3. for channel ratios, one row per object with a map from channel to values;
 4. the group (and object) values are joined back on one NULL-safe struct key and
    every variable is a plain projection of the joined row.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,10 @@ def _only(values: Column, hits: Column) -> Column:
     return F.when(hits == 1, values)
 
 
+def _channel() -> Column:
+    return col(S.CHANNEL).cast("string")
+
+
 class _Plan:
     """Collects which group and object values the requested variables read."""
 
@@ -105,7 +110,8 @@ class _Plan:
         self.distance = distance
         self.group_aggs: dict[str, Column] = {"_n": F.count(F.lit(1))}
         self.group_windows: dict[str, Column] = {}
-        self.object_aggs: dict[str, Column] = {}
+        self.object_names: list[str] = []
+        self.lookups: dict[str, Column] = {}
         self.levels: list[dict[str, Column]] = [{}, {}, {}]
 
     def quotient(self, key: str, x: Column, y: Column, level: int = 0) -> Column:
@@ -170,19 +176,37 @@ class _Plan:
         return F.col("_has_center")
 
     def in_channel(self, value: Column, key: str, channel: str, keys: Sequence[str]) -> Column:
-        """A group-level value of another channel of the same image."""
-        name = f"{key}@{channel}"
-        self.group_windows[name] = F.max(F.when(col(S.CHANNEL) == channel, value)).over(partition(keys))
-        return col(name)
+        """A group-level value of another channel of the same image.
+
+        One map from channel to value serves all channels; the value is the same in all rows of a channel in the window.
+        """
+        name = f"{key}@"
+        entry = F.when(col(S.CHANNEL).isNotNull(), F.struct(_channel().alias("c"), value.alias("v")))
+        self.group_windows[name] = F.map_from_entries(F.collect_set(entry).over(partition(keys)))
+        self.lookups[f"{name}{channel}"] = F.try_element_at(col(name), F.lit(channel))
+        return col(f"{name}{channel}")
 
     # -- values of the object across channels ------------------------------------------------
 
     def object_value(self, name: str, channel: str) -> Column:
-        key, hits = f"_object_{name}@{channel}", f"_rows@{channel}"
-        here = col(S.CHANNEL) == channel
-        self.object_aggs[hits] = F.count(F.when(here, F.lit(1)))
-        self.object_aggs[key] = F.max(F.when(here, col(name)))
-        return _only(col(key), col(hits))
+        """The object's value in a channel that it has one row of."""
+        if name not in self.object_names:
+            self.object_names.append(name)
+        here = F.try_element_at(F.col("_channels"), F.lit(channel))
+        key = f"_object_{name}@{channel}"
+        self.lookups[key] = _only(here[f"v{self.object_names.index(name)}"], here["n"])
+        return col(key)
+
+    def objects(self) -> DataFrame:
+        """One row per object with a map from channel to its number of rows and its values.
+
+        An object's rows are first reduced to one for each channel, so what is gathered is bounded by the channels.
+        """
+        values = [F.max(col(name)).alias(f"v{k}") for k, name in enumerate(self.object_names)]
+        keys = [key_struct(OBJECT_GROUP).alias("_object"), _channel().alias("c")]
+        cells = self.df.where(col(S.CHANNEL).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *values)
+        entry = F.struct("c", F.struct("n", *[f"v{k}" for k in range(len(values))]))
+        return cells.groupBy("_object").agg(F.map_from_entries(F.collect_list(entry)).alias("_channels"))
 
     # -- the joined table ---------------------------------------------------------------------
 
@@ -200,12 +224,9 @@ class _Plan:
 
     def joined(self) -> DataFrame:
         out = self.df.withColumn("_group", key_struct(GROUP)).join(self.groups(), "_group", "left").drop("_group")
-        if self.object_aggs:
-            objects = (
-                self.df.groupBy(key_struct(OBJECT_GROUP).alias("_object"))
-                .agg(*[value.alias(key) for key, value in self.object_aggs.items()])
-            )
-            out = out.withColumn("_object", key_struct(OBJECT_GROUP)).join(objects, "_object", "left").drop("_object")
+        if self.object_names:
+            out = out.withColumn("_object", key_struct(OBJECT_GROUP)).join(self.objects(), "_object", "left").drop("_object")
+        out = out.withColumns(self.lookups) if self.lookups else out
         for level in self.levels:
             if level:
                 out = out.withColumns(level)
@@ -224,10 +245,11 @@ def _ratio_columns(plan: _Plan, ratios: Ratios, columns: Sequence[str]) -> dict[
             value = plan.quotient(name, values(pair[0]), values(pair[1]), level)
             out[name] = F.when(col(S.CHANNEL).isin(*pair), value)
 
+    of_object = {n: cache(partial(plan.object_value, n)) for n in (S.INTENSITY_SUM, S.INTENSITY_MEAN)}
     for pairs, name in ((ratios.sums, S.INTENSITY_SUM), (ratios.means, S.INTENSITY_MEAN)):
         if name in columns:
             for pair in pairs:
-                put(pair, name, lambda ch, name=name: plan.object_value(name, ch), 0)
+                put(pair, name, of_object[name], 0)
 
     if plan.reference and S.INTENSITY_SUM in columns:
         name = S.INTENSITY_SUM
@@ -235,9 +257,11 @@ def _ratio_columns(plan: _Plan, ratios: Ratios, columns: Sequence[str]) -> dict[
         def reference_in(channel: str) -> Column:
             return plan.in_channel(plan.reference_value(name), f"_ref_{name}", channel, [S.IMAGE])
 
+        @cache
         def per_reference(channel: str) -> Column:
-            return plan.quotient(f"ref@{channel}", plan.object_value(name, channel), reference_in(channel))
+            return plan.quotient(f"ref@{channel}", of_object[name](channel), reference_in(channel))
 
+        @cache
         def per_group(channel: str) -> Column:
             total = plan.in_channel(plan.label_total(name), f"_label_total_{name}", channel, [S.IMAGE, S.OBJECT])
             whole = plan.quotient(f"whole@{channel}", total, reference_in(channel))

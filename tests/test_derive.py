@@ -163,3 +163,48 @@ def test_plan_has_no_window_over_rows(spark):
     for line in plan.splitlines():
         if "Window [" in line:
             assert "Object ID" not in line
+
+
+CHANNELS = [str(k) for k in range(1, 21)]
+
+
+def many_channels(spark):
+    """Two images, a reference and two objects each, 20 channels; one object has channel 3 twice and lacks channel 4."""
+    rows = []
+    for image in "AB":
+        for k, channel in enumerate(CHANNELS, 1):
+            rows.append((image, "Surface", "Nucleus", channel, "0", 100.0 * k, 10.0, 2.0, 50.0, 20.0, 0.0))
+            for o in (1, 2):
+                if (image, o, k) != ("A", 1, 4):
+                    row = (image, "Surface", "CC", channel, str(o), float(o * k + (image == "B")), 8.0, 1.0, 5.0, 10.0, 1.0)
+                    rows += [row] * (2 if (image, o, k) == ("A", 1, 3) else 1)
+    rows.append(("A", "Surface", "CC", None, "1", 77.0, 8.0, 1.0, 5.0, 10.0, 1.0))
+    return table(spark, rows)
+
+
+def test_all_pairs_of_twenty_channels(spark):
+    pairs = [(a, b) for a in CHANNELS for b in CHANNELS if int(a) < int(b)]
+    out = derive(many_channels(spark), [], ratios=Ratios(sums=pairs, reference_sums=pairs)).collect()
+    assert len(out) == 121
+    for r in out:
+        if r[S.OBJECT] != "CC":
+            continue
+        o, extra = int(r[S.OBJECT_ID]), r[S.IMAGE] == "B"
+        gone = {"3", "4"} if (r[S.IMAGE], o) == ("A", 1) else set()
+        for a, b in pairs:
+            sums, shares = r[f"Ratio Ch{a}:Ch{b} of Intensity Sum"], r[f"Ratio Ch{a}:Ch{b} of Intensity Sum Normalised per Nucleus"]
+            if r[S.CHANNEL] not in (a, b) or gone & {a, b}:
+                assert sums is None and shares is None
+            else:
+                x, y = o * int(a) + extra, o * int(b) + extra
+                assert close(sums, x / y) and close(shares, x / int(a) / (y / int(b)))
+
+
+def test_aggregates_and_windows_do_not_grow_with_the_pairs(spark):
+    def shape(pairs):
+        out = derive(many_channels(spark), [], ratios=Ratios(pairs, [], pairs, pairs))
+        lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return [line.count(",") for line in lines if "Aggregate [" in line or "Window [" in line]
+
+    every = [(a, b) for a in CHANNELS for b in CHANNELS[:3] if a != b]
+    assert shape(every) == shape([("1", "2")])
