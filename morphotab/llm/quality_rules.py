@@ -1,11 +1,14 @@
 """Quality rules with thresholds from the data, with DataFrame functions only.
 
 Each document gets five ratios. Their distribution is held per (language, source) as a mergeable quantile sketch: counts
-of logarithmic buckets of relative width 1 %, which add up exactly in any order. The threshold of a ratio is
-its `quantile` in the group plus `spread` times the distance of that quantile from the median, and never below
-`floor`. The groups of a language that have fewer than `least` documents, and null groups, use the language's
-sketch, which is the sum of its groups' sketches, or at last the sketch of all. Documents are then joined with their
-group's thresholds and kept if no ratio is above its threshold. The base rule stands beside it.
+of logarithmic buckets of relative width 1 %, which add up exactly in any order. Two more sketches hold the documents' sizes.
+The threshold of a ratio is its `quantile` in the group plus `spread` steps. A step is the distance of that quantile from
+the median, or, where most documents have the same ratio (often zero), what one event changes in a document of the group's median
+size. So there are no fixed cutoffs. A language's sketch is the sum of its groups' sketches, and the sketch of all is the
+sum of the languages'. A group's threshold is at most `relax` times its language's, and a language's at most `relax` times that of all, so a
+source of which half is junk cannot switch a rule off. Groups with fewer than `least` documents use their language's threshold,
+or at last that of all. Documents are then joined with their group's thresholds and kept if no ratio is above its
+threshold. The base rule stands beside it.
 
 Null or empty texts have no words and fail the base rule. All rows are returned, repeated ones too.
 """
@@ -19,8 +22,9 @@ from morphotab.llm import text as T
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
-#: ratio -> floor of its threshold
-RATIOS = {"symbol_ratio": 0.005, "dup_line_ratio": 0.1, "repeat_ratio": 0.1, "upper_ratio": 0.01, "bang_ratio": 0.01}
+#: ratio -> (size it is a share of, what one event adds to its numerator: a repeated window of three words marks six)
+RATIOS = {"symbol_ratio": ("word_chars", 1), "dup_line_ratio": ("n_words", 1), "repeat_ratio": ("n_words", 6), "upper_ratio": ("word_chars", 1), "bang_ratio": ("word_chars", 1)}
+SIZES = ("n_words", "word_chars")
 WIDTH = 0.01
 TINY = 1e-4  # ratios below share one bucket
 
@@ -88,42 +92,53 @@ def value(b: Column) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """lang, source, name, bucket, n: sketches of all ratios; adding n merges sketches."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), bucket(F.col(k)).alias("bucket")) for k in RATIOS)))
+    """lang, source, name, bucket, n: sketches of all ratios and sizes; adding n merges sketches."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), bucket(F.col(k)).alias("bucket")) for k in (*RATIOS, *SIZES))))
     return rows.select("lang", "source", each.alias("r")).groupBy("lang", "source", "r.name", "r.bucket").agg(F.count("*").alias("n"))
 
 
-def _quantiles(sketch: DataFrame, keys: list[str], quantile: float) -> DataFrame:
+def _cuts(sketch: DataFrame, keys: list[str], quantile: float, spread: float) -> DataFrame:
+    """The keys, docs, and an array `cuts` of thresholds in the order of RATIOS, from the sketches merged by the keys."""
     w = Window.partitionBy(*keys, "name")
     merged = sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
     up = merged.select("*", F.sum("n").over(w.orderBy("bucket")).alias("up"), F.sum("n").over(w).alias("all"))
-    at = lambda q: value(F.min(F.when(F.col("up") >= q * F.col("all"), F.col("bucket"))))
-    return up.groupBy(*keys, "name").agg(at(quantile).alias("high"), at(0.5).alias("middle"), F.max("all").alias("docs"))
+    of = lambda k, q: value(F.min(F.when((F.col("name") == k) & (F.col("up") >= q * F.col("all")), F.col("bucket"))))
+    rows = up.groupBy(*keys).agg(
+        F.max("all").alias("docs"),
+        *(of(k, 0.5).alias(f"mid_{k}") for k in (*RATIOS, *SIZES)),
+        *(of(k, quantile).alias(f"high_{k}") for k in RATIOS),
+    )
+
+    def cut(k: str) -> Column:
+        size, event = RATIOS[k]
+        step = F.greatest(F.col(f"high_{k}") - F.col(f"mid_{k}"), event / F.greatest(F.col(f"mid_{size}"), F.lit(1.0)))
+        return F.col(f"high_{k}") + spread * step
+
+    return rows.select(*keys, "docs", F.array(*(cut(k) for k in RATIOS)).alias("cuts"))
 
 
-def thresholds(sketch: DataFrame, quantile: float = 0.75, spread: float = 8.0, least: int = 100) -> DataFrame:
+def thresholds(sketch: DataFrame, quantile: float = 0.75, spread: float = 8.0, least: int = 100, relax: float = 2.0) -> DataFrame:
     """lang, source and one column for each ratio: the value above which a document of the group is rejected."""
     groups = sketch.select("lang", "source").distinct()
-    floor = F.coalesce(*(F.when(F.col("name") == k, v) for k, v in RATIOS.items()))
-    cut = F.greatest(F.col("high") + spread * (F.col("high") - F.col("middle")), floor).alias("cut")
-    own = _quantiles(sketch, ["lang", "source"], quantile).where(F.col("docs") >= least).select("lang", "source", "name", cut)
-    lang = _quantiles(sketch, ["lang"], quantile).where(F.col("docs") >= least).select(F.col("lang").alias("lang1"), F.col("name").alias("name1"), cut.alias("cut1"))
-    every = _quantiles(sketch, [], quantile).select(F.col("name").alias("name2"), cut.alias("cut2"))
-    names = groups.select("lang", "source", F.explode(F.array(*(F.lit(k) for k in RATIOS))).alias("name"))
-    o = own.select(F.col("lang").alias("lang0"), F.col("source").alias("source0"), F.col("name").alias("name0"), F.col("cut").alias("cut0"))
-    full = (
-        names.join(o, F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")) & (F.col("name") == F.col("name0")), "left")
-        .join(lang, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("name") == F.col("name1")), "left")
-        .join(every, F.col("name") == F.col("name2"), "left")
-    )
-    one = F.coalesce("cut0", "cut1", "cut2")
-    return full.groupBy("lang", "source").agg(*(F.max(F.when(F.col("name") == k, one)).alias(f"max_{k}") for k in RATIOS))
+    own, lang, every = (_cuts(sketch, keys, quantile, spread) for keys in (["lang", "source"], ["lang"], []))
+    own = own.where(F.col("docs") >= least).select(F.col("lang").alias("lang0"), F.col("source").alias("source0"), F.col("cuts").alias("cuts0"))
+    lang = lang.where(F.col("docs") >= least).select(F.col("lang").alias("lang1"), F.col("cuts").alias("cuts1"))
+    full = groups.join(own, F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
+    full = full.join(lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").withColumn("cuts2", every.select("cuts").scalar())
+    bounded = lambda narrow, wide: F.least(narrow, relax * wide)
+
+    def cut(i: int) -> Column:
+        own, lang, every = (F.get(F.col(f"cuts{k}"), F.lit(i)) for k in range(3))
+        of_lang = F.when(lang.isNull(), every).otherwise(bounded(lang, every))
+        return F.when(own.isNull(), of_lang).otherwise(bounded(own, of_lang))
+
+    return full.select("lang", "source", *(cut(i).alias(f"max_{k}") for i, k in enumerate(RATIOS)))
 
 
-def quality_rules(docs: DataFrame, quantile: float = 0.75, spread: float = 8.0, least: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, quantile: float = 0.75, spread: float = 8.0, least: int = 100, relax: float = 2.0) -> DataFrame:
     """doc_id, the measures, base_failed, kept, and the ratios with their thresholds."""
     rows = T.stored(ratios(measures(docs)), "measures")
-    cuts = T.stored(thresholds(sketches(rows), quantile, spread, least), "thresholds").withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
+    cuts = T.stored(thresholds(sketches(rows), quantile, spread, least, relax), "thresholds").withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
     joined = rows.join(cuts, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.lit(True)

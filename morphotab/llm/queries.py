@@ -119,6 +119,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT r, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM g WHERE c IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM again WHERE k > 1) GROUP BY r),
+m AS (
+  SELECT d.r, doc_id, lang, source, len(ws) AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, len(t) - len(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+         len(t) - len(translate(t, '!?', '')) AS n_bang
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+x AS (
+  SELECT r, lang, source, unnest([
+    {'name': 'symbol', 'size': 'chars', 'event': 1, 'x': CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END},
+    {'name': 'dup_line', 'size': 'words', 'event': 1, 'x': CASE WHEN n_words > 0 THEN n_dup_lines / n_words ELSE 0 END},
+    {'name': 'repeat', 'size': 'words', 'event': 6, 'x': CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END},
+    {'name': 'upper', 'size': 'chars', 'event': 1, 'x': CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END},
+    {'name': 'bang', 'size': 'chars', 'event': 1, 'x': CASE WHEN word_chars > 0 THEN n_bang / word_chars ELSE 0 END},
+    {'name': 'words', 'size': NULL, 'event': NULL, 'x': n_words::DOUBLE},
+    {'name': 'chars', 'size': NULL, 'event': NULL, 'x': word_chars::DOUBLE}], recursive := true)
+  FROM m),
+b AS (SELECT *, CASE WHEN x <= 1e-4::DOUBLE THEN 0 ELSE 1 + floor(ln(x / 1e-4::DOUBLE) / ln(1.01::DOUBLE)) END AS bucket FROM x),
+levels AS (
+  SELECT 0 AS level, lang, source, name, size, event, bucket FROM b
+  UNION ALL SELECT 1, lang, NULL, name, size, event, bucket FROM b
+  UNION ALL SELECT 2, NULL, NULL, name, size, event, bucket FROM b),
+q AS (
+  SELECT level, lang, source, name, any_value(size) AS size, any_value(event) AS event, count(*) AS docs,
+         quantile_disc(bucket, 0.75) AS hb, quantile_disc(bucket, 0.5) AS mb
+  FROM levels GROUP BY level, lang, source, name),
+v AS (
+  SELECT *, CASE WHEN hb = 0 THEN 0 ELSE 1e-4::DOUBLE * pow(1.01::DOUBLE, hb - 0.5) END AS high,
+         CASE WHEN mb = 0 THEN 0 ELSE 1e-4::DOUBLE * pow(1.01::DOUBLE, mb - 0.5) END AS mid FROM q),
+cuts AS (
+  SELECT v.level, v.lang, v.source, v.name, v.docs, v.high + 8 * greatest(v.high - v.mid, v.event / greatest(s.mid, 1)) AS cut
+  FROM v JOIN v s ON s.level = v.level AND s.lang IS NOT DISTINCT FROM v.lang AND s.source IS NOT DISTINCT FROM v.source AND s.name = v.size),
+bounded AS (
+  SELECT o.lang, o.source, o.name, a.cut AS every, CASE WHEN l.docs >= 100 THEN least(l.cut, 2 * a.cut) ELSE a.cut END AS of_lang,
+         CASE WHEN o.docs >= 100 THEN o.cut END AS own
+  FROM cuts o JOIN cuts l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.name = o.name
+  JOIN cuts a ON a.level = 2 AND a.name = o.name WHERE o.level = 0),
+bad AS (
+  SELECT DISTINCT x.r FROM x JOIN bounded c ON c.lang IS NOT DISTINCT FROM x.lang AND c.source IS NOT DISTINCT FROM x.source AND c.name = x.name
+  WHERE x.x > CASE WHEN own IS NULL THEN of_lang ELSE least(own, 2 * of_lang) END)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.r IS NULL AS kept
+FROM m LEFT JOIN bad USING (r)
+""",
     "op12_line_dedup": """
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM docs),

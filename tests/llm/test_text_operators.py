@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import itertools
+import math
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from morphotab.llm import covering_dedup, curve_packing, decontaminate, kd_shards, kneser_ney, lm_scoring, quality_rules, repair_codec, surrogates, tokens, toxicity
+from morphotab.llm import covering_dedup, curve_packing, decontaminate, kd_shards, kneser_ney, lm_scoring, quality_rules, queries, repair_codec, surrogates, tokens, toxicity
 from morphotab.llm import text as T
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string"
@@ -119,6 +120,65 @@ def ids_of(text, name):
     return np.array([*encoder.plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
+def plain_cuts(rows, keys, spread=8.0):
+    """Thresholds and counts by key from sorted values, rounded to sketch buckets."""
+
+    def at(values, share):
+        x = sorted(values)[max(0, math.ceil(share * len(values)) - 1)]
+        return 0.0 if x <= 1e-4 else 1e-4 * 1.01 ** (math.floor(math.log(x / 1e-4) / math.log(1.01)) + 0.5)
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[tuple(r[k] for k in keys)].append(r)
+    out = {}
+    for key, rs in groups.items():
+        for name, (size, event) in quality_rules.RATIOS.items():
+            high, mid = (at([r[name] for r in rs], q) for q in (0.75, 0.5))
+            step = max(high - mid, event / max(1.0, at([r[size] for r in rs], 0.5)))
+            out[key, name] = (len(rs), high + spread * step)
+    return out
+
+
+def test_quality_thresholds(spark):
+    """Thresholds and verdicts against sorted values; a hot source of which 40 % is junk loses its junk, clean texts stay."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(400):
+        words = sentence(rng, int(rng.integers(80, 200))).split()
+        lang, source = ("en", "hot") if i < 160 else (["en", "fr"][i % 2], ["a", "b", None][i % 3])
+        junk = i < 160 and i % 5 < 2
+        texts.append((i, " ".join(w + "##|" * (junk and k % 3 == 0) for k, w in enumerate(f"{w}{rng.integers(9999)}" for w in words)), lang, source, 1, "x"))
+    df = spark.createDataFrame(texts, SCHEMA).repartition(4)
+    measured = quality_rules.T.stored(quality_rules.ratios(quality_rules.measures(df)), "test-measures")
+    plain = [r.asDict() for r in measured.collect()]
+    own, lang, every = (plain_cuts(plain, keys) for keys in (("lang", "source"), ("lang",), ()))
+    least = 50
+    wanted = {}
+    for (key, name), (n, cut) in own.items():
+        n_lang, of_lang = lang[key[:1], name]
+        of_lang = min(of_lang, 2 * every[(), name][1]) if n_lang >= least else every[(), name][1]
+        wanted[(*key, name)] = min(cut, 2 * of_lang) if n >= least else of_lang
+    cuts = quality_rules.thresholds(quality_rules.sketches(measured), least=least).collect()
+    found = {(r.lang, r.source, name): r[f"max_{name}"] for r in cuts for name in quality_rules.RATIOS}
+    assert found.keys() == wanted.keys() and all(math.isclose(found[k], wanted[k], rel_tol=1e-9) for k in wanted)
+    out = {r.doc_id: r for r in quality_rules.quality_rules(df, least=least).collect()}
+    ok = {r["doc_id"]: all(r[k] <= wanted[r["lang"], r["source"], k] for k in quality_rules.RATIOS) for r in plain}
+    assert {i: r.kept for i, r in out.items()} == {i: ok[i] and not out[i].base_failed for i in ok}
+    assert not any(out[i].kept for i in range(160) if i % 5 < 2)
+    assert sum(out[i].kept for i in range(400) if i >= 160 or i % 5 >= 2) >= 300
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_quality_rules_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sf_dir = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    expected = con.execute(queries.ORACLES["op3_quality_rules"]).fetchall()
+    assert sorted(expected) == sorted(tuple(r[c] for c in names) for r in queries.QUERIES["op3_quality_rules"](spark, sf_dir).collect())
+
+
 def test_packing(docs, rows, empty):
     out = curve_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=256).collect()
     pieces = defaultdict(list)
