@@ -4,8 +4,12 @@ Texts are lower-cased and cut into words of letters and digits. A seed is a fixe
 it ignores may differ. Windows of all documents and of all benchmark items are hashed under every seed and joined on
 the hash. Each hit names an alignment (document position minus item position), which is then verified word by word: an
 item is found in a document if at least `share` of the item's words stand at their places, or if some stretch of
-`stretch` words does so for at least 4 in 5. Items shorter than a window are hashed whole, beside all windows of their lengths
-in the documents, so they are found anywhere, but only unchanged.
+`stretch` words does so for at least 4 in 5.
+
+Items of fewer words than the longest of the `seeds` but at least five use the six `LIGHT` seeds, three words within five. None of
+their accepted alignments is missed: of each five words in a row at least three would have to differ, and then fewer than 3 in 5 of the
+item's words stand at their places (for a `share` of 0.6 or more). Documents are hashed under the light seeds only if there are such items. Items of one
+to four words are hashed whole, beside all windows of their lengths in the documents, so they are found anywhere, but only unchanged.
 
 The benchmark side is broadcast if its measured number of hashes is at most BROADCAST_ROWS; otherwise the same join runs by
 shuffle. Null or empty texts and items have no words and never match. Repeated rows count once for each doc_id and item_id.
@@ -13,14 +17,14 @@ shuffle. Null or empty texts and items have no words and never match. Repeated r
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphotab.llm import text as T
 
 SEEDS = ("110101011", "11100110001", "1101100001011")
+LIGHT = ("111", "1101", "1011", "11001", "10101", "10011")
+LIGHT_FROM = 5  # words; of fewer, no three can be spared
 BROADCAST_ROWS = 4_000_000  # 20 bytes each
 STRETCH = 20
 
@@ -29,24 +33,20 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _hashes(words: DataFrame, seeds: tuple[str, ...], short: Iterable[int], whole: bool, *keep: str) -> DataFrame:
-    """One row for each window and seed: the columns to keep, `at` (first word) and `h`; `words` has the array `h0` of word hashes.
-
-    So do windows of the `short` lengths without a gap; if `whole`, only those that are all of the text.
-    """
-    n = F.size("h0")
+def _windows(number: int, seed: str, fits: Column) -> Column:
+    """Places and hashes of all windows under a seed, of the array `h0` of word hashes, if it `fits`."""
+    care = [i for i, c in enumerate(seed) if c == "1"]
+    hashed = F.transform(
+        F.sequence(F.lit(0), F.size("h0") - len(seed)),
+        lambda at: F.struct(at.alias("at"), F.xxhash64(F.lit(number), *(F.get(F.col("h0"), at + i) for i in care)).alias("h")),
+    )
+    return F.when(fits & (F.size("h0") >= len(seed)), hashed).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
-    def windows(k: int, seed: str, fits: Column) -> Column:
-        care = [i for i, c in enumerate(seed) if c == "1"]
-        hashed = F.transform(
-            F.sequence(F.lit(0), n - len(seed)),
-            lambda at: F.struct(at.alias("at"), F.xxhash64(F.lit(k), *(F.get(F.col("h0"), at + i) for i in care)).alias("h")),
-        )
-        return F.when(fits, hashed).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
-    each = [windows(k, s, n >= len(s)) for k, s in enumerate(seeds)]
-    each += [windows(-k, "1" * k, n == k if whole else n >= k) for k in short]
-    return words.select(*keep, F.explode(F.concat(*each)).alias("w")).select(*keep, "w.at", "w.h")
+def _hashes(words: DataFrame, seeds: list[tuple[int, str, Column]], *keep: str) -> DataFrame:
+    """One row for each window and seed: the columns to keep, `at` (first word) and `h`; seeds: number, mask, which rows use it."""
+    each = F.concat(*(_windows(*seed) for seed in seeds))
+    return words.select(*keep, F.explode(each).alias("w")).select(*keep, "w.at", "w.h")
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -56,15 +56,22 @@ def _hashed(df: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, seeds: tuple[str, ...] = SEEDS, share: float = 0.6, stretch: int = STRETCH) -> DataFrame:
     """doc_id, item_id, doc_start (word), item_words, same_words: the best alignment of each item found in a document."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).distinct()
-    shortest = min(map(len, seeds))
-    items = items.withColumn("short", F.when(F.size("words") < shortest, F.size("words")))
-    tests = T.stored(_hashes(_hashed(items), seeds, range(1, shortest), True, "item_id", "short").distinct(), "seeds")
-    lengths = sorted(r.short for r in tests.where("short is not null").select("short").distinct().collect())
+    n, many = F.size("words"), max(map(len, seeds))
+    items = items.withColumn("short", F.when(n < LIGHT_FROM, n))
+    heavy = list(enumerate(seeds))
+    light = [(len(seeds) + k, seed) for k, seed in enumerate(LIGHT)]
+    whole = [(-k, "1" * k) for k in range(1, LIGHT_FROM)]
+    of_items = [(k, seed, n >= many) for k, seed in heavy] + [(k, seed, (n >= LIGHT_FROM) & (n < many)) for k, seed in light]
+    of_items += [(k, seed, n == len(seed)) for k, seed in whole]
+    tests = T.stored(_hashes(_hashed(items), of_items, "item_id", "short").distinct(), "seeds")
+    # at most LIGHT_FROM lengths and one flag
+    lengths = {r.n for r in items.select(F.when(n < many, F.greatest(F.lit(0), F.least(n, F.lit(LIGHT_FROM)))).alias("n")).distinct().collect()}
+    of_docs = heavy + (light if LIGHT_FROM in lengths else []) + [(k, seed) for k, seed in whole if len(seed) in lengths]
     items = items.drop("short")
     if tests.count() <= BROADCAST_ROWS:
         tests = F.broadcast(tests)
     texts = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    train = _hashes(_hashed(texts), seeds, lengths, False, "doc_id")
+    train = _hashes(_hashed(texts), [(k, seed, F.lit(True)) for k, seed in of_docs], "doc_id")
     hits = train.join(tests.withColumnRenamed("at", "item_at"), "h").select("doc_id", "item_id", "short", (F.col("at") - F.col("item_at")).alias("shift"))
     # all places of a short item are alike, so its first one stands for them
     one = F.when(F.col("short").isNull(), F.col("shift")).alias("place")

@@ -505,7 +505,7 @@ def test_contamination(spark, docs, rows, empty):
 
 
 def test_contamination_by_short_items(spark):
-    """Items of 1 to 8 words are found unchanged anywhere in a document; the first place counts."""
+    """Items of few words are found anywhere in a document, those of 1 to 4 words unchanged; the first place counts."""
     rng = np.random.default_rng(5)
     items = [(k, " ".join(f"s{k}x{i}" for i in range(k))) for k in (1, 2, 4, 7, 8)] + [(7, "seven other words of the same item"), (9, "not to be found here")]
     docs = [(k, f"{sentence(rng, 100)} {t.upper()}! {sentence(rng, 40)} {t} {sentence(rng, 40)}") for k, t in items[:5]]
@@ -513,7 +513,25 @@ def test_contamination_by_short_items(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = {(r.doc_id, r.item_id, r.doc_start, r.item_words, r.same_words) for r in decontaminate.contamination(df, bench).collect()}
-    assert out == {(k, k, 100, k, k) for k in (1, 2, 4, 7, 8)} | {(20, 7, 0, 7, 7), (21, 8, 30, 8, 8), (23, 7, 0, 7, 7)}
+    assert out == {(k, k, 100, k, k) for k in (1, 2, 4, 7, 8)} | {(20, 7, 0, 7, 7), (21, 8, 30, 8, 8), (22, 7, 30, 7, 6), (23, 7, 0, 7, 7)}
+
+
+def test_contamination_finds_every_accepted_substitution(spark):
+    """All ways to replace words of items of 5 to 12 words: found if 3 in 5 of the words are left, else not."""
+    rng = np.random.default_rng(6)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(5, 13)]
+    docs, expected = [], set()
+    for n, words in items:
+        for gone in range(n // 2 + 1):
+            ways = list(itertools.combinations(range(n), gone))
+            for way in ways if len(ways) <= 60 else [ways[k] for k in rng.choice(len(ways), 60, replace=False)]:
+                text = " ".join("gap" if k in way else w for k, w in enumerate(words))
+                if n - gone >= 0.6 * n:
+                    expected.add((len(docs), n, 7, n, n - gone))
+                docs.append((len(docs), f"{sentence(rng, 7)} {text} {sentence(rng, 9)}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(n, " ".join(words)) for n, words in items], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.contamination(df, bench).select("doc_id", "item_id", "doc_start", "item_words", "same_words").collect()} == expected
 
 
 SF_DIR = "/root/testdata/sf0.001"
