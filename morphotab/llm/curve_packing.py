@@ -69,10 +69,11 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary, blanks=False).encode
+        size, cache = (tokens.SMALL_SLICE_BYTES, tokens.SMALL_CACHE) if ids else (tokens.SLICE_BYTES, tokens.CACHE)
+        encode = tokens.encoder(vocabulary, False, cache).encode
         end = np.array([tokens.END_ID], "<u4").tobytes()
         sequence, used = TaskContext.get().partitionId() << 32, 0
-        for batch in T.slices(batches, size=tokens.SLICE_BYTES):
+        for batch in T.slices(batches, size=size):
             rows = []
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 own += end

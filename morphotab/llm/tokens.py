@@ -16,7 +16,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
 TOGETHER = 256
 SLICE_BYTES = 6 << 20  # text encoded in one step; the more, the fewer its distinct pieces to the byte
-CACHE = 400_000  # pieces in each of the two generations that a worker remembers
+CACHE = 400_000  # pieces in each of the two generations that a worker remembers; some 200 bytes each
+#: The same two for jobs that also hold ids or follow others in one worker.
+SMALL_SLICE_BYTES, SMALL_CACHE = SLICE_BYTES // 4, CACHE // 4
 #: Blanks and controls that libraries take for white space or not; texts with any of them are encoded in one piece.
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 #: Bytes with which such characters begin; texts without any need no look at their characters.
@@ -29,7 +31,7 @@ _MARK[list(b".,!?%&*#$|")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
 def _letters(data: np.ndarray) -> np.ndarray:
@@ -73,12 +75,12 @@ class Encoder:
     the mark that a token at a word's end carries.
     """
 
-    def __init__(self, path: str, blanks: bool):
+    def __init__(self, path: str, blanks: bool, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.blanks = blanks
+        self.blanks, self.cache = blanks, cache
         vocabulary = self.plain.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte-level token has a character for each byte
@@ -141,7 +143,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text of a string array without nulls."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known, self.older = {}, self.known
         data, offsets = T.utf8(column)
         maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_ODD[data]), "right") - 1)
@@ -159,10 +161,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str, blanks: bool) -> Encoder:
+def encoder(path: str, blanks: bool, cache: int = CACHE) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    key = path, blanks
+    key = path, blanks, cache
     if key not in _encoders:
         gc.disable()  # millions of strings are kept here, and no cycles
-        _encoders[key] = Encoder(path, blanks)
+        _encoders[key] = Encoder(path, blanks, cache)
     return _encoders[key]
