@@ -6,7 +6,8 @@ Shape of the plan, whatever the number of variables:
    with map-side combine, so a huge image or group costs no task more than another;
 2. windows over that small group table for reference values and group totals;
 3. for channel ratios, one row per object with a map from channel to values;
-4. the group (and object) values are joined back on one NULL-safe struct key and
+4. the object and then the group values are joined back, each on one NULL-safe struct key
+   that holds the key columns meanwhile, and only the values that variables read are carried;
    every variable is a plain projection of the joined row.
 
 The joins are ordinary equi-joins: adaptive execution broadcasts a side once its
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphotab import schema as S
-from morphotab.functions.columns import col, key_struct, partition
+from morphotab.functions.columns import col, cols, key_struct, partition
 from morphotab.functions.nulls import finite, strict_avg, strict_sum
 from morphotab.operators.catalog import available_variables, with_prerequisites
 
@@ -101,6 +102,14 @@ def _channel() -> Column:
     return col(S.CHANNEL).cast("string")
 
 
+def _with_values(df: DataFrame, keys: Sequence[str], key: str, values: DataFrame) -> DataFrame:
+    """Left join on the struct `key`; the rows carry their key columns in it alone."""
+    rest = [c for c in df.columns if c not in keys]
+    found = df.select(key_struct(keys).alias(key), *cols(rest)).join(values, key, "left")
+    own = [F.col(key).getField(c).alias(c) if c in keys else col(c) for c in df.columns]
+    return found.select(*own, *cols([c for c in values.columns if c != key]))
+
+
 class _Plan:
     """Collects which group and object values the requested variables read."""
 
@@ -111,7 +120,8 @@ class _Plan:
         self.group_aggs: dict[str, Column] = {"_n": F.count(F.lit(1))}
         self.group_windows: dict[str, Column] = {}
         self.object_names: list[str] = []
-        self.lookups: dict[str, Column] = {}
+        self.group_lookups: dict[str, Column] = {}
+        self.object_lookups: dict[str, Column] = {}
         self.levels: list[dict[str, Column]] = [{}, {}, {}]
 
     def quotient(self, key: str, x: Column, y: Column, level: int = 0) -> Column:
@@ -183,7 +193,7 @@ class _Plan:
         name = f"{key}@"
         entry = F.when(col(S.CHANNEL).isNotNull(), F.struct(_channel().alias("c"), value.alias("v")))
         self.group_windows[name] = F.map_from_entries(F.collect_set(entry).over(partition(keys)))
-        self.lookups[f"{name}{channel}"] = F.try_element_at(col(name), F.lit(channel))
+        self.group_lookups[f"{name}{channel}"] = F.try_element_at(col(name), F.lit(channel))
         return col(f"{name}{channel}")
 
     # -- values of the object across channels ------------------------------------------------
@@ -194,7 +204,7 @@ class _Plan:
             self.object_names.append(name)
         here = F.try_element_at(F.col("_channels"), F.lit(channel))
         key = f"_object_{name}@{channel}"
-        self.lookups[key] = _only(here[f"v{self.object_names.index(name)}"], here["n"])
+        self.object_lookups[key] = _only(here[f"v{self.object_names.index(name)}"], here["n"])
         return col(key)
 
     def objects(self) -> DataFrame:
@@ -219,14 +229,15 @@ class _Plan:
             own = {k: v for k, v in self.group_windows.items() if "@" not in k}
             across = {k: v for k, v in self.group_windows.items() if "@" in k}
             table = table.withColumns(own) if own else table
-            table = table.withColumns(across) if across else table
+            if across:  # the maps stay on this side of the join
+                table = table.withColumns(across).withColumns(self.group_lookups).drop(*across)
         return table.withColumn("_group", key_struct(GROUP)).drop(*GROUP)
 
     def joined(self) -> DataFrame:
-        out = self.df.withColumn("_group", key_struct(GROUP)).join(self.groups(), "_group", "left").drop("_group")
+        out = self.df
         if self.object_names:
-            out = out.withColumn("_object", key_struct(OBJECT_GROUP)).join(self.objects(), "_object", "left").drop("_object")
-        out = out.withColumns(self.lookups) if self.lookups else out
+            out = _with_values(out, OBJECT_GROUP, "_object", self.objects()).withColumns(self.object_lookups).drop("_channels")
+        out = _with_values(out, GROUP, "_group", self.groups())
         for level in self.levels:
             if level:
                 out = out.withColumns(level)

@@ -208,3 +208,10 @@ def test_aggregates_and_windows_do_not_grow_with_the_pairs(spark):
 
     every = [(a, b) for a in CHANNELS for b in CHANNELS[:3] if a != b]
     assert shape(every) == shape([("1", "2")])
+
+
+def test_rows_are_widened_last(spark):
+    """Object values are looked up before the group values are joined, and no join carries a map of channels beside the rows."""
+    full = derive(table(spark, GOLDEN), reference="Nucleus", ratios=Ratios([("1", "2")], [("1", "2")], [("1", "2")], [("1", "2")]))
+    joins = [line for line in full._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2 and "_group" in joins[0] and "_object" in joins[1]
