@@ -143,7 +143,9 @@ def harmonise(
     if SURPASS_OBJECT in rows.columns:
         rows = rows.withColumnRenamed(SURPASS_OBJECT, S.OBJECT)
     rows = unify_labels(rows)
-    keys = [*S.KEYS, *([S.TIME] if S.TIME in rows.columns else [])]
+    of_all_times = S.OBJECT_KEYS
+    object_keys = [*of_all_times, *([S.TIME] if S.TIME in rows.columns else [])]
+    keys = [*object_keys, S.CHANNEL]  # in this order the sort of the aggregation serves the windows
     order = col(order_by) if order_by else None
 
     pivots: dict[str, Column] = {}
@@ -160,16 +162,16 @@ def harmonise(
     skipped = {*keys, SURFACES, SPOTS, *statistics, S.SPOT_STATISTIC, order_by}
     plain = [c for c in rows.columns if c not in skipped]
     picks = {c: col(c) for c in plain} | pivots
-    collapsed = rows.groupBy(*cols(keys)).agg(*[first_known(v, order).alias(c) for c, v in picks.items()])
+    dealt = rows.repartition(*cols(of_all_times))
+    collapsed = dealt.groupBy(*cols(keys)).agg(*[first_known(v, order).alias(c) for c, v in picks.items()])
 
-    object_keys = [k for k in keys if k != S.CHANNEL]
     of_object = Window.partitionBy(*cols(object_keys))
     no_channel = col(S.CHANNEL).isNull()
     spread = {
         c: F.coalesce(col(c), F.max(F.when(no_channel, col(c))).over(of_object)) for c in picks
     }
     if S.TIME in keys:
-        all_times = Window.partitionBy(*cols([k for k in object_keys if k != S.TIME]))
+        all_times = Window.partitionBy(*cols(of_all_times))
         timeless = no_channel & col(S.TIME).isNull()
         spread = {c: F.coalesce(v, F.max(F.when(timeless, col(c))).over(all_times)) for c, v in spread.items()}
     return leading_order(rename_neighbour_distances(collapsed.withColumns(spread).where(~no_channel)))

@@ -15,7 +15,7 @@ from morphotab.operators.derive import Ratios, derive, fill_reference_distance,
 from morphotab.plans.measurement_view import DISTANCE, MEASURES, measurements, suppliers, table
 from morphotab.plans.measurement_view import channel_column, image_columns, object_columns
 from morphotab.sources import stat_tree, tables
-from morphotab.sources.shared import new_folder
+from morphotab.sources.shared import new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,18 +231,22 @@ def path_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCE = "source"
 
 
-def _statistic_rows(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The view split into one table per statistic, as the files of the images hold it."""
+def _statistic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view split into the rows of one table per statistic, as the files of the images hold them; the view is read once."""
     m = measurements(spark, sf_dir)
-    out = []
-    for name in (S.INTENSITY_SUM, S.INTENSITY_MEAN, S.INTENSITY_STD):
-        path = F.concat(F.lit(f"{name}_Ch="), col(S.CHANNEL))
-        out.append(m.select(*cols([*S.KEYS, name]), path.alias(SOURCE)))
-    for name in (S.VOLUME, S.AREA, DISTANCE):
-        path = F.concat(F.lit(f"{name}_from_"), col(S.CHANNEL))
-        no_channel = F.lit(None).cast("string").alias(S.CHANNEL)
-        out.append(m.select(*cols(S.OBJECT_KEYS), no_channel, col(name), path.alias(SOURCE)))
-    return out
+    no_channel = F.lit(None).cast("string")
+    of_channel = {name: (col(S.CHANNEL), f"{name}_Ch=") for name in (S.INTENSITY_SUM, S.INTENSITY_MEAN, S.INTENSITY_STD)}
+    of_object = {name: (no_channel, f"{name}_from_") for name in (S.VOLUME, S.AREA, DISTANCE)}
+    tables = of_channel | of_object
+    rows = [
+        F.struct(
+            channel.alias(S.CHANNEL),
+            *[(col(n) if n == name else F.lit(None).cast("double")).alias(n) for n in tables],
+            F.concat(F.lit(path), col(S.CHANNEL)).alias(SOURCE),
+        )
+        for name, (channel, path) in tables.items()
+    ]
+    return m.select(*cols(S.OBJECT_KEYS), F.explode(F.array(*rows)).alias("row")).select(*cols(S.OBJECT_KEYS), "row.*")
 
 
 def _prices(spark: SparkSession, sf_dir: str, by: str, statistic: str, label: Column) -> DataFrame:
@@ -278,13 +282,15 @@ def _spot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def harmonise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = [*_statistic_rows(spark, sf_dir), _surface_rows(spark, sf_dir), _spot_rows(spark, sf_dir)]
+    # the prices are read for the names of the neighbours and for the values, so they are computed once
+    prices = [written(_surface_rows(spark, sf_dir), "surfaces"), written(_spot_rows(spark, sf_dir), "spots")]
+    frames = [_statistic_rows(spark, sf_dir), *prices]
     return clean.harmonise(clean.union_rows(frames), order_by=SOURCE)
 
 
 @query
 def coalesce_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.coalesce_rows(clean.union_rows(_statistic_rows(spark, sf_dir)), S.KEYS, SOURCE)
+    return clean.coalesce_rows(_statistic_rows(spark, sf_dir), S.KEYS, SOURCE)
 
 
 def _with_unnamed(rows: DataFrame, by: str, statistic: str) -> DataFrame:

@@ -242,3 +242,10 @@ def test_skip_patterns_are_regular_expressions(spark):
     df = frame(spark, {"p": "s"}, [("x/Diameter.csv",), ("x/DiameterXcsv",), ("x/MyTime.csv",), ("x/Volume.csv",)])
     assert [r["p"] for r in stat_tree.skip_listed_files(df, "p").collect()] == ["x/Volume.csv"]
     assert len(S.SKIPPED_FILES) == 29 and len(S.RETAINED_TOKENS) == 19
+
+
+def test_harmonise_deals_rows_out_once(spark):
+    """The aggregation and the windows share one exchange and one sort."""
+    out = clean.harmonise(harmonise_rows(spark), order_by="p", surfaces=["Nucleus"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
