@@ -186,8 +186,7 @@ def read_stat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measurements(spark, sf_dir)
     root = new_folder(spark, "tree")
     for statistic in (S.INTENSITY_SUM, S.INTENSITY_MEAN):
-        for channel in PAIR:
-            _write_statistic(m.where(col(S.CHANNEL) == channel), root, statistic, (S.CHANNEL,))
+        _write_statistic(m, root, statistic, (S.CHANNEL,))
     per_object = m.groupBy(*cols(S.OBJECT_KEYS)).agg(
         F.max(col(S.VOLUME)).alias(S.VOLUME), F.min(col(DISTANCE)).alias("Shortest Distance to Surfaces")
     )

@@ -7,6 +7,7 @@ preamble, a header and the rows of one statistic.
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,7 +38,10 @@ def path_metadata(path: Column) -> dict[str, Column]:
 
 def skipped_file(path: Column, patterns: Sequence[str] = tuple(S.SKIPPED_FILES)) -> Column:
     """Whether a path matches one of the patterns anywhere."""
-    return path.rlike("|".join(patterns))
+    found = "|".join(patterns)
+    if patterns and all(re.fullmatch(r"\w[\w.= ]*", p) for p in patterns):  # looked for only where one can begin
+        found = f"(?=[{''.join(sorted({p[0] for p in patterns}))}])(?:{found})"
+    return path.rlike(found)
 
 
 def skip_listed_files(
@@ -52,15 +56,18 @@ def skip_small_files(files: DataFrame, size: str = "_size", min_bytes: int = S.M
 
 
 def _fields(line: Column, width: int) -> Column:
-    """The fields of a CSV line, trimmed; blank and NA fields are NULL."""
+    """The fields of a CSV line as they stand in it."""
     names = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{n} string" for n in names)
     parsed = F.from_csv(
         line, schema, {"nullValue": "NA", "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     )
-    return F.transform(
-        F.array(*[parsed.getField(n) for n in names]), lambda v: F.nullif(F.nullif(F.trim(v), F.lit("")), F.lit("NA"))
-    )
+    return F.array(*[parsed.getField(n) for n in names])
+
+
+def _trimmed(field: Column) -> Column:
+    """A field without blanks around it; blank and NA fields are NULL."""
+    return F.nullif(F.nullif(F.trim(field), F.lit("")), F.lit("NA"))
 
 
 def _stored_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -71,20 +78,21 @@ def _stored_lines(spark: SparkSession, root: str) -> DataFrame:
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     # the path comes percent-encoded, in which a plus sign stands for itself
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.col("_metadata.file_path")
+    path = F.when(F.contains(path, F.lit("%")), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
     block = F.col("_metadata.file_block_start").alias("_block")
-    lines = reader.text(root).select(path.alias(SOURCE), block, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_line"))
+    # only a file's path is asked for, so Spark leaves skipped files out when it lists them
+    lines = reader.text(root).where(~skipped_file(path)).select(path.alias(SOURCE), block, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_line"))
     folder = new_folder(spark, "lines")
-    skip_listed_files(lines).write.parquet(folder)
+    lines.write.parquet(folder)
     return spark.read.schema(lines.schema).parquet(folder)
 
 
-def addressed_lines(spark: SparkSession, root: str) -> tuple[DataFrame, list[str]]:
-    """Path, header and line of every row of every file, and the different headers.
+def addressed_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The lines of all files; path, place of the header (`_header_at`) and header of every split; the different headers.
 
     Lines are counted by split; sums over the splits before give each line's number in its file, so the fourth line is the
     header and the rows follow it, wherever files are split. A file without a fourth line, or with a blank one, has no rows.
-    Blank lines are no rows.
     """
     lines = _stored_lines(spark, root)
     earlier = Window.partitionBy(SOURCE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,46 +100,45 @@ def addressed_lines(spark: SparkSession, root: str) -> tuple[DataFrame, list[str
         lines.groupBy(SOURCE, "_block")
         .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
         .withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-        .select(SOURCE, "_block", (PREAMBLE_LINES - F.col("_before") + F.col("_first")).alias("_header_at"))
+        .select(SOURCE, "_block", (PREAMBLE_LINES - F.col("_before") + F.col("_first")).alias("_header_at"), "_first", "_lines")
     )
-    first = lines.join(blocks, [SOURCE, "_block"]).where(F.col("_at") == F.col("_header_at"))
+    inside = (F.col("_header_at") >= F.col("_first")) & (F.col("_header_at") < F.col("_first") + F.col("_lines"))
+    places = blocks.where(inside).select(SOURCE, F.col("_header_at").alias("_at"))
+    first = lines.select("_at", "_line").join(places, "_at")
     folder = new_folder(spark, "headers")  # one row for each file
     first.where(F.trim("_line") != "").select(SOURCE, F.col("_line").alias("_header")).write.parquet(folder)
     headers = spark.read.schema(f"{SOURCE} string, _header string").parquet(folder)
-    rows = (
-        lines.join(blocks.join(headers, SOURCE), [SOURCE, "_block"])
-        .where((F.col("_at") > F.col("_header_at")) & (F.trim("_line") != ""))
-        .select(SOURCE, "_header", "_line")
-    )
-    return rows, [r[0] for r in headers.select("_header").distinct().collect()]
+    splits = blocks.select(SOURCE, "_block", "_header_at").join(headers, SOURCE)
+    return lines, splits, [r[0] for r in headers.select("_header").distinct().collect()]
 
 
 def read_stat_rows(spark: SparkSession, root: str) -> DataFrame:
     """All rows of all files with the columns of any of them.
 
     The headers are looked at first: there are as many different ones as kinds of statistic,
-    and they decide the columns of the result. Fields beyond the header are left out, missing ones are NULL.
+    and they decide the columns of the result. Where a file has which column is found once for each split.
+    Fields beyond the header are left out, missing ones are NULL. Blank lines are no rows.
     """
-    lines, headers = addressed_lines(spark, root)
+    lines, splits, headers = addressed_lines(spark, root)
     width = max((len(_csv_fields(h)) for h in headers), default=1)
     header_fields = _header_names(headers)
     wanted = retained_columns(header_fields)
-    pairs = F.map_from_entries(
-        F.filter(
-            F.arrays_zip(_fields(F.col("_header"), width).alias("n"), _fields(F.col("_line"), width).alias("v")),
-            lambda p: p["n"].isNotNull(),
-        )
-    )
-    parsed = lines.select(SOURCE, pairs.alias("_values"))
-
-    def value(name: str) -> Column:
-        text = F.try_element_at(F.col("_values"), F.lit(name))
+    names = F.transform(_fields(F.col("_header"), width), _trimmed)
+    numbered = F.arrays_zip(names.alias("n"), F.sequence(F.lit(0), F.lit(width - 1)).alias("i"))
+    splits = splits.withColumn("_places", F.map_from_entries(F.filter(numbered, lambda p: p["n"].isNotNull())))
+    place = {name: F.try_element_at(F.col("_places"), F.lit(name)).alias(f"_place{k}") for k, name in enumerate(wanted)}
+    splits = splits.select(SOURCE, "_block", "_header_at", *place.values())
+    below = lines.join(splits, [SOURCE, "_block"]).where((F.col("_at") > F.col("_header_at")) & (F.trim("_line") != ""))
+    parsed = below.withColumn("_values", _fields(F.col("_line"), width))
+
+    def value(k: int, name: str) -> Column:
+        text = _trimmed(F.get(F.col("_values"), F.col(f"_place{k}")))
         return text if name in _TEXT else finite(text.try_cast("double"))
 
     return parsed.select(
         SOURCE,
         *[c.alias(n) for n, c in path_metadata(F.col(SOURCE)).items()],
-        *[value(n).alias(_RENAMED.get(n, n)) for n in wanted],
+        *[value(k, n).alias(_RENAMED.get(n, n)) for k, n in enumerate(wanted)],
     )
 
 

@@ -249,3 +249,15 @@ def test_harmonise_deals_rows_out_once(spark):
     out = clean.harmonise(harmonise_rows(spark), order_by="p", surfaces=["Nucleus"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_headers_are_taken_apart_before_they_meet_the_rows(spark, tree):
+    plan = stat_tree.read_stat_rows(spark, str(tree))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("map_from_entries")
+
+
+def test_skip_patterns_of_any_kind(spark):
+    df = frame(spark, {"p": "s"}, [("x/Volume.csv",), ("x/Area.csv",), ("x/Sphericity.csv",)])
+    for patterns, kept in ((["Area.csv", "Vol"], [2]), (["Q?Area", "ume|icity"], []), (["^y"], [0, 1, 2])):
+        assert [r["p"] for r in stat_tree.skip_listed_files(df, "p", patterns).collect()] == [df.collect()[k]["p"] for k in kept]
+    assert "(?=[" in stat_tree.skipped_file(df.p)._jc.toString()
