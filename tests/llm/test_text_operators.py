@@ -316,6 +316,76 @@ def test_kneser_ney(spark, docs, rows, empty):
     assert kneser_ney.quality(empty, trusted).count() == 0
 
 
+def plain_word_model(texts, order):
+    """P(word | words before) of interpolated modified Kneser-Ney by the definition; None stands for words not in the texts."""
+    counts = {order: Counter()}
+    for t in texts:
+        ws = ["<edge>"] * (order - 1) + t.split() + ["<edge>"]
+        counts[order].update(tuple(ws[i : i + order]) for i in range(len(ws) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    size = len(counts[1]) + 1
+    assert ("<edge>",) in counts[1]
+
+    def discount(own, c):
+        n = [sum(x == k for x in own.values()) for k in (1, 2, 3, 4)]
+        y, k = (n[0] / (n[0] + 2 * n[1]) if n[0] else 0), min(c, 3)
+        return min(k, max(0.1, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.1
+
+    def p(gram):
+        if not gram:
+            return 0
+        own = counts[len(gram)]
+        seen = {g: c for g, c in own.items() if g[:-1] == gram[:-1]}
+        lower = p(gram[1:]) if len(gram) > 1 else 0.5 / size + (0.5 if gram == (None,) else 0)
+        if not seen:
+            return lower
+        total, left = sum(seen.values()), sum(discount(own, c) for c in seen.values())
+        c = own.get(gram, 0)
+        return (c - discount(own, c) if c else 0) / total + left / total * lower
+
+    return p
+
+
+@pytest.mark.parametrize(("order", "frequent"), [(2, 0), (3, 9)])
+def test_word_kneser_ney(spark, order, frequent):
+    rng = np.random.default_rng(8)
+    seen = [sentence(rng, n) for n in (1, 2, 7, 7, 20, 30, 30, 60)] + ["one", " ", "river river river"]
+    asked = [*seen[:6], "zebra river zebra", "", "the stone", "stone the", " \n river  bridge zebra  "]
+    model = kneser_ney.WordModel(spark.createDataFrame([(t,) for t in seen], "text string"), order, most_grams=frequent)
+    flat = np.zeros(kneser_ney.SIZE**kneser_ney.ORDER, np.float32)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in kneser_ney.perplexities(docs, flat, model).collect()}
+    p, known = plain_word_model(seen, order), {w for t in seen for w in t.split()}
+    for i, t in enumerate(asked):
+        ws = ["<edge>"] * (order - 1) + [w if w in known else None for w in t.split()] + ["<edge>"]
+        want = sum(math.log2(p(tuple(ws[j : j + order]))) for j in range(len(ws) - order + 1))
+        assert math.isclose(out[i].log2_prob, want, rel_tol=1e-5, abs_tol=1e-5) and out[i].n_words == len(t.split())
+    # an unknown word costs its spelling, a known one does not; and order counts
+    spelled = {r.doc_id: r for r in kneser_ney.perplexities(docs, flat - 1, model).collect()}
+    loss = [round(out[i].log2_prob - spelled[i].log2_prob, 4) for i in range(len(asked))]
+    assert loss == [0.0] * 6 + [5.0 + 6.0, 0.0, 0.0, 0.0, 6.0]
+    assert abs(out[8].log2_prob - out[9].log2_prob) > 0.1
+
+
+def test_kneser_ney_scrambled_words(spark):
+    """The words of trusted texts in another order are rejected, the texts are kept, and so are texts not learned from."""
+    rng = np.random.default_rng(5)
+    follows = {w: rng.choice(WORDS, 2, replace=False).tolist() for w in WORDS}
+
+    def chained(n):
+        out = [WORDS[int(rng.integers(len(WORDS)))]]
+        while len(out) < n:
+            out.append(follows[out[-1]][int(rng.integers(2))])
+        return out
+
+    good = [chained(60) for _ in range(140)]
+    texts = [" ".join(ws) for ws in good] + [" ".join(rng.permutation(ws)) for ws in good[:40]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r.kept for r in kneser_ney.quality(docs, spark.createDataFrame([(i,) for i in range(100)], "doc_id long"), least=10).collect()}
+    assert np.mean([out[i] for i in range(140)]) > 0.95 and not any(out[i] for i in range(140, 180))
+
+
 def plain_fingerprint(text, width):
     words = (text or "").encode().lower().split()
     if not words:
