@@ -1,9 +1,9 @@
 """Exact order statistics by radix selection: only histograms are shuffled.
 
 A double becomes a 64-bit integer of the same order. A pass counts the rows of each facet by the leading bits, 16 more in
-each pass, and only in the cells that hold a wanted position; all facets and positions are looked for together. So a pass shuffles
-at most 65,536 counts for each cell that is looked into, whatever the number of rows. When no such cell holds more than `finish`
-rows, the next pass counts their values themselves.
+each pass, and only in the cells that hold a wanted position; all facets and positions are looked for together. With many cells to
+look into, a pass takes fewer bits, so that a task holds some `CELLS` counts, whatever the number of rows and facets. When no such cell
+holds more than `finish` rows, nor all of them more than `CELLS`, the next pass counts their values themselves.
 
 The narrow table of facets and keys, and the few cells found by a pass, are written to the shared folder: the passes then read
 two columns instead of computing their input again, and the planner knows how small the cells are when it joins them.
@@ -21,7 +21,8 @@ from morphotab.functions.nulls import finite
 from morphotab.sources.shared import written
 
 FINISH = 1 << 16
-STEP = 16
+STEP, LEAST_STEP = 16, 4
+CELLS = 1 << 18  # counts that a pass may have in one task
 _MANTISSA = 1 << 52
 
 
@@ -46,6 +47,11 @@ def key_value(key: Column) -> Column:
     return F.when(key < 0, -value).otherwise(value)
 
 
+def _step(cells: int) -> int:
+    """Bits of a pass that looks into so many cells."""
+    return max(LEAST_STEP, min(STEP, (CELLS // max(1, cells)).bit_length() - 1))
+
+
 def selected_keys(rows: DataFrame, positions: Callable[[Column], dict[str, Column]], finish: int = FINISH) -> DataFrame:
     """`_key`, `_n`, `_name`, `_cell`, `_pos`: the keys at 1-based positions of every facet.
 
@@ -54,7 +60,7 @@ def selected_keys(rows: DataFrame, positions: Callable[[Column], dict[str, Colum
     """
     spark = rows.sparkSession
     rows = written(rows.select("_key", "_bits"), "keys")
-    shift, wanted = 64 - STEP, None
+    shift, wanted = 64 - _step(rows.select("_key").distinct().count()), None
     while True:
         cell = F.shiftright("_bits", shift)
         if wanted is None:
@@ -77,8 +83,8 @@ def selected_keys(rows: DataFrame, positions: Callable[[Column], dict[str, Colum
             return found.drop("_in")
         wanted = written(found, "cells")
         before = shift
-        most = wanted.agg(F.max("_in")).first()[0]
-        shift = 0 if (most or 0) <= finish else shift - STEP
+        most, cells = wanted.agg(F.max("_in"), F.count_distinct("_key", "_cell")).first()
+        shift = 0 if (most or 0) <= min(finish, CELLS // max(1, cells)) else max(0, shift - _step(cells))
 
 
 def order_statistics(

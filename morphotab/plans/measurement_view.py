@@ -9,6 +9,7 @@ from morphotab import schema as S
 from morphotab.sources.shared import stored
 
 DISTANCE = "Distance to Nucleus"
+LINES = 1 << 18  # lines a task joins or groups at a time
 MEASURES = [S.INTENSITY_SUM, S.INTENSITY_MEAN, S.INTENSITY_STD, S.VOLUME, S.AREA, DISTANCE]
 
 
@@ -57,9 +58,15 @@ def _measures() -> list[Column]:
     ]
 
 
+def dealt(df: DataFrame, lines: int, *keys: str) -> DataFrame:
+    """The rows by hash of the keys, in partitions of some LINES rows: what a task holds does not grow with the table."""
+    return df.repartition(max(1, -(-lines // LINES)), *keys)
+
+
 def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (image, object, channel); some images lack a reference object or a centre of mass."""
     lines = table(spark, sf_dir, "lineitem")
+    count = lines.count()
     places = suppliers(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     first = [S.GENOTYPE, S.TREATMENT, S.IMAGE, S.CATEGORY, S.OBJECT, S.CHANNEL, S.OBJECT_ID]
@@ -68,12 +75,17 @@ def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a supplier is one image, so its names are joined to the aggregated rows
         return df.join(places, F.col("l_suppkey") == F.col("s_suppkey")).withColumns(image_columns())
 
+    # nearly every group is one line: grouped before they are dealt out, all of a task's groups would be held at once
+    used = lines.select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linenumber", "l_discount", channel_column())
+    typed = dealt(used, count, "l_partkey").join(dealt(parts, count, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    group = ["l_suppkey", "p_type", "p_size", S.CHANNEL]
+    grouped = (
+        dealt(typed.drop("l_partkey", "p_partkey"), count, *group)
+        .groupBy(*group)
+        .agg(*_measures(), F.min(F.round(F.col("l_discount") * 100)).alias(DISTANCE))
+    )
     objects = (
-        placed(
-            lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy("l_suppkey", "p_type", "p_size", channel_column())
-            .agg(*_measures(), F.min(F.round(F.col("l_discount") * 100)).alias(DISTANCE))
-        )
+        placed(dealt(grouped, count, "l_suppkey"))
         .withColumns(object_columns())
         .withColumn(S.VOLUME, F.when(F.col("p_size") % 17 != 0, F.col(S.VOLUME)))
         .withColumn(S.OBJECT_ID, F.col("p_size").cast("string"))
