@@ -41,6 +41,7 @@ BITS = 20  # of a word's number in an n-gram's code
 VOCABULARY = (1 << BITS) - 2
 EDGE, UNKNOWN = 0, 1  # numbers of the beginning and end of a text, and of words outside the vocabulary
 FREQUENT = 1 << 18
+SLICE_BYTES = 1 << 19  # text spelled in one step, at some 100 bytes of memory a byte
 
 
 def _byte_symbols() -> np.ndarray:
@@ -96,8 +97,8 @@ def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(SIZE**ORDER, np.int64)
-    for batch in T.slices(batches):
-        seen += np.bincount(grams(batch)[0], minlength=SIZE**ORDER)
+    for batch in T.slices(batches, size=SLICE_BYTES):
+        np.add.at(seen, grams(batch)[0], 1)
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([at, seen[at]], ["gram", "c"])
 
@@ -300,7 +301,7 @@ def perplexities(docs: DataFrame, table: np.ndarray, model: WordModel) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, words, single, gamma, masks, frequent, values = sent.value
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, size=SLICE_BYTES):
             codes, symbols, token = grams(batch)
             number, firsts = numbers(batch, words)
             spelled = np.bincount(token, table[codes], len(number))

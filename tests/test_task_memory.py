@@ -1,8 +1,12 @@
 """What a task holds at once does not grow with the rows: the view's joins and groupings, and the passes of a selection."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from morphotab.functions.columns import key_struct
+from morphotab.llm import kneser_ney
 from morphotab.operators import selection
 from morphotab.plans import measurement_view
 
@@ -43,3 +47,15 @@ def test_selection_takes_fewer_bits_for_many_facets(spark, monkeypatch):
     assert found() == sorted(want)
     monkeypatch.setattr(selection, "CELLS", 1 << 10)
     assert selection._step(1) == 10 and selection._step(40) == 4 and found() == sorted(want)
+
+
+def test_spellings_are_counted_in_small_slices():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"{x:05d}" for x in rng.permutation(50_000)[:500]) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    (out,) = kneser_ney._count(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 4.5 MB of text; the counts of all n-grams take 42 MB
+    assert peak < 130e6 and sum(out.column("c").to_pylist()) == sum(len(t) + 1 for t in texts)
