@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from morphotab.llm import covering_dedup, curve_packing, decontaminate, kd_shards, kneser_ney, lm_scoring, quality_rules, queries, repair_codec, surrogates, tokens, toxicity
 from morphotab.llm import text as T
@@ -368,6 +369,43 @@ def test_word_kneser_ney(spark, order, frequent):
     assert abs(out[8].log2_prob - out[9].log2_prob) > 0.1
 
 
+def test_ngrams_are_packed_and_dealt_evenly():
+    rng = np.random.default_rng(4)
+    weights = np.concatenate(([50, 4000], 10_000 / np.arange(1, 3000))).astype(np.int64)
+    words = rng.choice(len(weights), (2, 200_000), p=weights / weights.sum())
+    grams, c = np.unique(words[0] << kneser_ney.BITS | words[1], return_counts=True)
+    bounds = kneser_ney._bounds(weights, 16)
+    table = pa.table(kneser_ney._rows([(k, grams[at], c[at]) for k, at in kneser_ney._cut(grams, bounds)]))
+    opened = [*kneser_ney._opened(table)]
+    assert (np.concatenate([g for g, _ in opened]) == grams).all() and (np.concatenate([n for _, n in opened]) == c).all()
+    # the most frequent word begins a tenth of all pairs; no shard has more than its share of them by much
+    assert table.num_rows == 16 and max(n.sum() for _, n in opened) < 1.2 * c.sum() / 16
+    # rows of a pair and its count take 28 bytes in an exchange, some 11 compressed
+    assert sum(len(x) for y in ("gram", "c") for x in table[y].to_pylist()) < 4 * len(grams)
+    twice = kneser_ney._merged(pa.concat_tables([table.slice(3, 1), table.slice(3, 1)]))
+    assert (twice[0] == opened[3][0]).all() and (twice[1] == 2 * opened[3][1]).all()
+
+
+def test_kneser_ney_blocks_and_shards(spark):
+    """Neither the shards nor the blocks of n-grams that a task sends change a probability, and texts never meet in an exchange."""
+    rng = np.random.default_rng(9)
+    texts = spark.createDataFrame([(sentence(rng, int(n)),) for n in rng.integers(1, 60, 40)] + [(None,)], "text string")
+    docs = texts.withColumn("lang", F.lit("en")).withColumn("doc_id", F.when(F.length("text") % 5 > 0, F.length("text")))
+    flat = np.zeros(kneser_ney.SIZE**kneser_ney.ORDER, np.float32)
+
+    def found(shards, **how):
+        out = kneser_ney.perplexities(docs, flat, kneser_ney.WordModel(texts, most_grams=5, shards=shards), **how)
+        return sorted((str(r.doc_id), r.n_words, round(r.log2_prob, 3)) for r in out.collect())
+
+    assert found(1) == found(7, most=3) and len(found(1)) == 41
+    ids = spark.createDataFrame([(int(i),) for i in range(0, 20_000, 3)], "doc_id long")
+    rows = spark.range(30_000).selectExpr("id div 2 as doc_id", "cast(id as string) as text").unionAll(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    got = kneser_ney.learned(rows, ids)
+    assert sorted(r.text for r in got.collect()) == sorted(str(i) for i in range(30_000) if i // 2 % 3 == 0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("text" in line for line in plan.splitlines() if "Exchange" in line) and "SortMergeJoin" not in plan
+
+
 def test_kneser_ney_scrambled_words(spark):
     """The words of trusted texts in another order are rejected, the texts are kept, and so are texts not learned from."""
     rng = np.random.default_rng(5)
