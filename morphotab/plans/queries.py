@@ -15,7 +15,7 @@ from morphotab.operators.derive import Ratios, derive, fill_reference_distance,
 from morphotab.plans.measurement_view import DISTANCE, MEASURES, measurements, suppliers, table
 from morphotab.plans.measurement_view import channel_column, image_columns, object_columns
 from morphotab.sources import stat_tree, tables
-from morphotab.sources.shared import new_folder, written
+from morphotab.sources.shared import mounted, new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,25 +149,33 @@ def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).option("nullValue", "NA").schema(schema).csv(path)
 
 
-def _write_statistic(
-    rows: DataFrame, root: str, statistic: str, extra: tuple[str, ...] = ()
-) -> None:
-    """One file per image for one statistic: preamble, header, rows."""
+def _write_statistics(rows: DataFrame, root: str, statistics: dict[str, dict[str, Column]]) -> None:
+    """One file per image for each statistic, named with the further fields of its rows: preamble, header, rows."""
+    spark = rows.sparkSession
     places = [S.GENOTYPE, S.TREATMENT, S.IMAGE]
-    header = [statistic, S.CATEGORY, *extra, "Surpass Object", "Time", "ID"]
-    fields = [col(statistic), col(S.CATEGORY), *cols(extra), col(S.OBJECT), F.lit("1"), col(S.OBJECT_ID)]
-    body = rows.select(
-        *cols(places), F.lit(4).alias("_no"), F.concat_ws(",", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
-        .alias("line")
-    )
-    top = F.array(*[
-        F.struct(F.lit(i).alias("_no"), F.lit(t).alias("line"))
-        for i, t in enumerate([" ", statistic, "=" * 40, ",".join(header)])
-    ])
-    head = rows.select(*cols(places)).distinct().select(*cols(places), F.explode(top).alias("t")).select(*cols(places), "t.*")
-    lines = body.unionByName(head).withColumn(S.IMAGE, F.concat(col(S.IMAGE), F.lit("_Statistics")))
+    tops, lines = {}, {}
+    for statistic, more in statistics.items():
+        header = [statistic, S.CATEGORY, *more, "Surpass Object", "Time", "ID"]
+        fields = [col(statistic), col(S.CATEGORY), *more.values(), col(S.OBJECT), F.lit("1"), col(S.OBJECT_ID)]
+        tops[statistic] = [" ", statistic, "=" * 40, ",".join(header)]
+        lines[statistic] = F.concat_ws(",", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
+    image = F.concat(col(S.IMAGE), F.lit("_Statistics")).alias(S.IMAGE)
+    rows = rows.select(*cols(places[:-1]), image, *[line.alias(statistic) for statistic, line in lines.items()])
+    folder = mounted(spark, root)
+    if folder:
+        stat_tree.write_stat_files(rows, folder, places, {statistic: "\n".join(top) + "\n" for statistic, top in tops.items()})
+        return
+    for statistic, top in tops.items():
+        _write_by_spark(rows.select(*cols(places), F.lit(4).alias("_no"), col(statistic).alias("line")), root, places, top)
+
+
+def _write_by_spark(body: DataFrame, root: str, places: list[str], top: list[str]) -> None:
+    """The same for one statistic in a store that only Hadoop reaches."""
+    numbered = F.array(*[F.struct(F.lit(i).alias("_no"), F.lit(t).alias("line")) for i, t in enumerate(top)])
+    head = body.select(*cols(places)).distinct().select(*cols(places), F.explode(numbered).alias("t")).select(*cols(places), "t.*")
     (
-        lines.repartition(*cols(places))
+        body.unionByName(head)
+        .repartition(*cols(places))
         .sortWithinPartitions(*cols(places), "_no")
         .drop("_no")
         .write.mode("append")
@@ -185,15 +193,11 @@ def read_stat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view written as a tree of statistics files, and read back from it."""
     m = measurements(spark, sf_dir)
     root = new_folder(spark, "tree")
-    for statistic in (S.INTENSITY_SUM, S.INTENSITY_MEAN):
-        _write_statistic(m, root, statistic, (S.CHANNEL,))
-    per_object = m.groupBy(*cols(S.OBJECT_KEYS)).agg(
-        F.max(col(S.VOLUME)).alias(S.VOLUME), F.min(col(DISTANCE)).alias("Shortest Distance to Surfaces")
-    )
-    _write_statistic(per_object, root, S.VOLUME)
-    _write_statistic(
-        per_object.withColumn("Surfaces", F.lit(REF)), root, "Shortest Distance to Surfaces", ("Surfaces",)
-    )
+    channel = {S.CHANNEL: col(S.CHANNEL)}
+    _write_statistics(m, root, {S.INTENSITY_SUM: channel, S.INTENSITY_MEAN: channel})
+    distance = "Shortest Distance to Surfaces"
+    per_object = m.groupBy(*cols(S.OBJECT_KEYS)).agg(F.max(col(S.VOLUME)).alias(S.VOLUME), F.min(col(DISTANCE)).alias(distance))
+    _write_statistics(per_object, root, {S.VOLUME: {}, distance: {"Surfaces": F.lit(REF)}})
     cleaned = stat_tree.read_stat_tree(spark, root)
     # the writer names folders key=value
     plain = {c: F.regexp_replace(col(c), "^[^=]*=", "") for c in (S.GENOTYPE, S.TREATMENT, S.IMAGE)}

@@ -21,6 +21,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder that machines have mounted; None for one in a store that only Hadoop reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    is_file = path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    return path.toUri().getPath() if is_file else None
+
+
 def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write a table once per application and read it back from then on.
 

@@ -7,20 +7,26 @@ preamble, a header and the rows of one statistic.
 from __future__ import annotations
 
 import csv
+import os
 import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphotab import schema as S
-from morphotab.functions.columns import col, key_struct
+from morphotab.functions.columns import col, cols
 from morphotab.functions.nulls import finite
-from morphotab.operators.clean import SPOTS, SURFACES, SURPASS_OBJECT, harmonise, retained_columns
-from morphotab.sources.shared import new_folder
+from morphotab.operators.clean import SPOTS, SURFACES, SURPASS_OBJECT, harmonise, level_names, retained_columns
+from morphotab.sources.shared import new_folder, written
 
 PREAMBLE_LINES = 3
 SOURCE = "_path"
+WHOLE_BYTES = 1 << 20  # files up to this size are read as one row each
+TEXT_BYTES = 1 << 24  # bytes of such files that a task stores
 
 _TEXT = {"Category", "Channel", "Image", SURPASS_OBJECT, "Time", "ID", SURFACES, SPOTS}
 _RENAMED = {"ID": S.OBJECT_ID, "Image": S.IMAGE_SUBSET}
@@ -56,13 +62,13 @@ def skip_small_files(files: DataFrame, size: str = "_size", min_bytes: int = S.M
 
 
 def _fields(line: Column, width: int) -> Column:
-    """The fields of a CSV line as they stand in it."""
+    """The fields of a CSV line as they stand in it; only lines with quotes or control characters need a CSV parser."""
     names = [f"c{i}" for i in range(width)]
     schema = ", ".join(f"{n} string" for n in names)
     parsed = F.from_csv(
         line, schema, {"nullValue": "NA", "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     )
-    return F.array(*[parsed.getField(n) for n in names])
+    return F.when(line.rlike(r'["\x00-\x1f]'), F.array(*[parsed.getField(n) for n in names])).otherwise(F.split(line, ","))
 
 
 def _trimmed(field: Column) -> Column:
@@ -70,31 +76,43 @@ def _trimmed(field: Column) -> Column:
     return F.nullif(F.nullif(F.trim(field), F.lit("")), F.lit("NA"))
 
 
-def _stored_lines(spark: SparkSession, root: str) -> DataFrame:
-    """All lines of all files, with the split they come from and their order in it, written once to the shared folder.
+def _source() -> Column:
+    """The path of the file that a row is read from, which comes percent-encoded with a plus sign standing for itself."""
+    path = F.col("_metadata.file_path")
+    return F.when(F.contains(path, F.lit("%")), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
+
+
+def _told() -> list[Column]:
+    return [c.alias(n) for n, c in path_metadata(F.col(SOURCE)).items()]
+
+
+def _listed(spark: SparkSession, kind: str, root: str, size: Column) -> DataFrame:
+    """The CSV files of a tree whose size meets a condition, without skipped ones."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    # only a file's path and size are asked for, so Spark leaves the others out when it lists the files
+    return reader.format(kind).load(root).where(~skipped_file(_source()) & size)
+
+
+def _stored_lines(spark: SparkSession, root: str, size: Column) -> DataFrame:
+    """All lines of the files, with the split they come from and their order in it, written once to the shared folder.
 
     A split is read by one task from its first line to its last, so the ids of its rows are in the order of its lines.
     Stored, they stay what they are however the files are split when they are read next.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    # the path comes percent-encoded, in which a plus sign stands for itself
-    path = F.col("_metadata.file_path")
-    path = F.when(F.contains(path, F.lit("%")), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
     block = F.col("_metadata.file_block_start").alias("_block")
-    # only a file's path is asked for, so Spark leaves skipped files out when it lists them
-    lines = reader.text(root).where(~skipped_file(path)).select(path.alias(SOURCE), block, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_line"))
+    lines = _listed(spark, "text", root, size).select(_source().alias(SOURCE), block, F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_line"))
     folder = new_folder(spark, "lines")
     lines.write.parquet(folder)
     return spark.read.schema(lines.schema).parquet(folder)
 
 
-def addressed_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The lines of all files; path, place of the header (`_header_at`) and header of every split; the different headers.
+def addressed_lines(spark: SparkSession, root: str, size: Column) -> tuple[DataFrame, DataFrame]:
+    """The lines of the files whose size meets a condition; path, place of the header (`_header_at`) and header of every split.
 
     Lines are counted by split; sums over the splits before give each line's number in its file, so the fourth line is the
     header and the rows follow it, wherever files are split. A file without a fourth line, or with a blank one, has no rows.
     """
-    lines = _stored_lines(spark, root)
+    lines = _stored_lines(spark, root, size)
     earlier = Window.partitionBy(SOURCE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         lines.groupBy(SOURCE, "_block")
@@ -108,38 +126,100 @@ def addressed_lines(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     folder = new_folder(spark, "headers")  # one row for each file
     first.where(F.trim("_line") != "").select(SOURCE, F.col("_line").alias("_header")).write.parquet(folder)
     headers = spark.read.schema(f"{SOURCE} string, _header string").parquet(folder)
-    splits = blocks.select(SOURCE, "_block", "_header_at").join(headers, SOURCE)
-    return lines, splits, [r[0] for r in headers.select("_header").distinct().collect()]
+    return lines, blocks.select(SOURCE, "_block", "_header_at").join(headers, SOURCE)
 
 
-def read_stat_rows(spark: SparkSession, root: str) -> DataFrame:
-    """All rows of all files with the columns of any of them.
+def _stored_files(files: DataFrame, numbers: DataFrame, size: int) -> DataFrame:
+    """Header and lines below it of every file, in one row, written once to the shared folder: the files are opened once."""
+    tasks = max(1, -(-size // TEXT_BYTES))
+    lines = F.split(F.col("content").cast("string"), "\r\n?|\n")
+    whole = (
+        files.select(_source().alias(SOURCE), lines.alias("_all"))
+        .select(SOURCE, *_told(), F.get("_all", F.lit(PREAMBLE_LINES)).alias("_header"), F.slice("_all", PREAMBLE_LINES + 2, F.size("_all")).alias("_lines"))
+        .where(F.trim("_header") != "")
+    )
+    out = whole.repartition(tasks, SOURCE).join(numbers.repartition(tasks, SOURCE), SOURCE)
+    folder = new_folder(files.sparkSession, "files")
+    out.write.parquet(folder)
+    return files.sparkSession.read.schema(out.schema).parquet(folder)
+
+
+class StatTree:
+    """The files of a tree and what they hold.
 
-    The headers are looked at first: there are as many different ones as kinds of statistic,
-    and they decide the columns of the result. Where a file has which column is found once for each split.
-    Fields beyond the header are left out, missing ones are NULL. Blank lines are no rows.
+    Files are listed once and numbered in the order of their paths. A file of at most `whole` bytes is read as one row, larger
+    ones as lines in splits, by the same rule: the fourth line is the header, the rows follow it. The different headers are
+    looked at first: there are as many as kinds of statistic, and they decide the columns of the result.
     """
-    lines, splits, headers = addressed_lines(spark, root)
-    width = max((len(_csv_fields(h)) for h in headers), default=1)
-    header_fields = _header_names(headers)
-    wanted = retained_columns(header_fields)
-    names = F.transform(_fields(F.col("_header"), width), _trimmed)
-    numbered = F.arrays_zip(names.alias("n"), F.sequence(F.lit(0), F.lit(width - 1)).alias("i"))
-    splits = splits.withColumn("_places", F.map_from_entries(F.filter(numbered, lambda p: p["n"].isNotNull())))
-    place = {name: F.try_element_at(F.col("_places"), F.lit(name)).alias(f"_place{k}") for k, name in enumerate(wanted)}
-    splits = splits.select(SOURCE, "_block", "_header_at", *place.values())
-    below = lines.join(splits, [SOURCE, "_block"]).where((F.col("_at") > F.col("_header_at")) & (F.trim("_line") != ""))
-    parsed = below.withColumn("_values", _fields(F.col("_line"), width))
-
-    def value(k: int, name: str) -> Column:
-        text = _trimmed(F.get(F.col("_values"), F.col(f"_place{k}")))
-        return text if name in _TEXT else finite(text.try_cast("double"))
-
-    return parsed.select(
-        SOURCE,
-        *[c.alias(n) for n, c in path_metadata(F.col(SOURCE)).items()],
-        *[value(k, n).alias(_RENAMED.get(n, n)) for k, n in enumerate(wanted)],
-    )
+
+    def __init__(self, spark: SparkSession, root: str, whole: int = WHOLE_BYTES):
+        size = F.col("_metadata.file_size")
+        files = _listed(spark, "binaryFile", root, F.lit(True))
+        known = files.select(_source().alias(SOURCE), size.alias("_size")).orderBy(SOURCE).withColumn("_file", F.monotonically_increasing_id())
+        known = written(known, "listed")
+        numbers = known.select(SOURCE, "_file")
+        sizes = {r["large"]: r["size"] for r in known.groupBy((F.col("_size") > whole).alias("large")).agg(F.sum("_size").alias("size")).collect()}
+        found = []
+        self._files = self._lines = None
+        if True in sizes:
+            self._lines, splits = addressed_lines(spark, root, size > whole)
+            self._splits = splits.join(numbers, SOURCE).select("*", *_told())
+            found.append(splits)
+        if False in sizes or not found:
+            self._files = _stored_files(files.where(size <= whole), numbers, sizes.get(False, 0))
+            found.append(self._files)
+        headers = found[0].select("_header")
+        for more in found[1:]:
+            headers = headers.union(more.select("_header"))
+        self._headers = written(headers.distinct(), "header")
+        lines = [r[0] for r in self._headers.collect()]
+        self._width = max((len(_csv_fields(h)) for h in lines), default=1)
+        self.names = retained_columns(_header_names(lines))
+
+    def rows(self, names: Sequence[str] | None = None) -> DataFrame:
+        """All rows of all files with path, number of the file, what the path tells, and the named columns of the files.
+
+        With names, only files that have one of them. Where a header has which column is found once for each header.
+        Fields beyond the header are left out, missing ones are NULL. Blank lines are no rows.
+        """
+        wanted = self.names if names is None else [n for n in self.names if n in names]
+        texts = F.transform(_fields(F.col("_header"), self._width), _trimmed)
+        numbered = F.arrays_zip(texts.alias("n"), F.sequence(F.lit(0), F.size(texts) - 1).alias("i"))
+        headers = self._headers.withColumn("_places", F.map_from_entries(F.filter(numbered, lambda p: p["n"].isNotNull())))
+        place = {name: F.try_element_at(F.col("_places"), F.lit(name)).alias(f"_place{k}") for k, name in enumerate(wanted)}
+        headers = headers.select("_header", *place.values())
+        if names is not None:
+            headers = headers.where(F.greatest(F.lit(-1), *[F.col(f"_place{k}") for k in range(len(wanted))]) >= 0)
+        headers = F.broadcast(headers)
+        told = cols([S.GENOTYPE, S.TREATMENT, S.IMAGE])
+        kept = [SOURCE, "_file", *told, *[f"_place{k}" for k in range(len(wanted))]]
+        parts = []
+        if self._lines is not None:
+            splits = self._splits.join(headers, "_header").select("_block", "_header_at", *kept)
+            parts.append(self._lines.join(splits, [SOURCE, "_block"]).where(F.col("_at") > F.col("_header_at")))
+        if self._files is not None:
+            parts.append(self._files.join(headers, "_header").select(*kept, F.explode("_lines").alias("_line")))
+
+        def value(k: int, name: str) -> Column:
+            field = F.get(F.col("_values"), F.col(f"_place{k}"))
+            return _trimmed(field) if name in _TEXT else finite(field.try_cast("double"))  # blanks and NA are no numbers
+
+        out = [
+            part.where(F.trim("_line") != "")
+            .withColumn("_values", _fields(F.col("_line"), self._width))
+            .select(SOURCE, "_file", *told, *[value(k, n).alias(_RENAMED.get(n, n)) for k, n in enumerate(wanted)])
+            for part in parts
+        ]
+        return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+    def levels(self, name: str) -> list[str]:
+        """Distinct values of a column; only files that have it are looked at."""
+        return level_names(self.rows([name]), name) if name in self.names else []
+
+
+def read_stat_rows(spark: SparkSession, root: str, whole: int = WHOLE_BYTES) -> DataFrame:
+    """All rows of all files with the columns of any of them."""
+    return StatTree(spark, root, whole).rows().drop("_file")
 
 
 def _csv_fields(line: str) -> list[str]:
@@ -151,9 +231,66 @@ def _header_names(headers: Sequence[str]) -> list[str]:
     return sorted(names - {"", "NA"})
 
 
-def read_stat_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_stat_tree(spark: SparkSession, root: str, whole: int = WHOLE_BYTES) -> DataFrame:
     """The cleaned table of a tree of statistics files.
 
     If an object-level statistic has several values, the file with the smallest path decides.
     """
-    return harmonise(read_stat_rows(spark, root), order_by=SOURCE)
+    tree = StatTree(spark, root, whole)
+    return harmonise(tree.rows().drop(SOURCE), order_by="_file", surfaces=tree.levels(SURFACES), spots=tree.levels(SPOTS))
+
+
+def write_stat_files(rows: DataFrame, folder: str, places: Sequence[str], tops: dict[str, str]) -> None:
+    """For every combination of places one file of each column named in `tops`: its top, then a line for every row.
+
+    `folder` is one that every machine has mounted. Files are named by column and stand in folders `place=value`, as Spark
+    names them; tasks write them side by side, without the processes that Hadoop starts for every local file and folder.
+    """
+    sorted_rows = rows.repartition(*cols(places)).sortWithinPartitions(F.xxhash64(*cols(places)), *cols(places))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, files = None, {}, 0
+        for batch in batches:
+            for start, end in _runs(batch, places):
+                at = tuple(batch[p][start].as_py() for p in places)
+                if at != now:
+                    files += _finished(out)
+                    now, out = at, _begun(folder, dict(zip(places, at)), tops)
+                for name, (file, _, _) in out.items():
+                    file.write("\n".join(batch[name].slice(start, end - start).to_pylist()) + "\n")
+        yield pa.RecordBatch.from_pydict({"files": [files + _finished(out)]})
+
+    sorted_rows.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
+def _runs(batch: pa.RecordBatch, names: Sequence[str]) -> list[tuple[int, int]]:
+    """Start and end of every run of rows with the same values."""
+    if not batch.num_rows:
+        return []
+    new = np.zeros(batch.num_rows, bool)
+    for name in names:
+        codes = batch[name].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    starts = [0, *np.flatnonzero(new).tolist()]
+    return list(zip(starts, [*starts[1:], batch.num_rows]))
+
+
+def _begun(folder: str, places: dict[str, str | None], tops: dict[str, str]) -> dict[str, tuple]:
+    """Files of one folder: file, the name it is written under, and the name it gets when it is complete."""
+    values = {n: re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", v or "") for n, v in places.items()}
+    at = os.path.join(folder, *[f"{n}={v or '__HIVE_DEFAULT_PARTITION__'}" for n, v in values.items()])
+    os.makedirs(at, exist_ok=True)
+    out = {}
+    for name, top in tops.items():
+        path = os.path.join(at, f"{name.replace(' ', '_')}.csv")
+        part = f"{path}.{uuid.uuid4().hex}"  # if a task runs twice, each writes its own
+        out[name] = (open(part, "w", encoding="utf-8", newline="\n"), part, path)
+        out[name][0].write(top)
+    return out
+
+
+def _finished(files: dict[str, tuple]) -> int:
+    for file, part, path in files.values():
+        file.close()
+        os.replace(part, path)
+    return len(files)

@@ -261,3 +261,39 @@ def test_skip_patterns_of_any_kind(spark):
     for patterns, kept in ((["Area.csv", "Vol"], [2]), (["Q?Area", "ume|icity"], []), (["^y"], [0, 1, 2])):
         assert [r["p"] for r in stat_tree.skip_listed_files(df, "p", patterns).collect()] == [df.collect()[k]["p"] for k in kept]
     assert "(?=[" in stat_tree.skipped_file(df.p)._jc.toString()
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\r"])
+def test_whole_files_and_lines_of_splits_follow_one_rule(spark, tmp_path, split_size, line_end):
+    folder = tmp_path / "WT" / "dark" / "img_Statistics"
+    folder.mkdir(parents=True)
+    odd = ODD | {"Control": ["Volume,Category,ID", "1.5,\tSurface\t,7", "NA, Spot ,8", "\t,Spot,9"]}
+    for name, lines in odd.items():
+        (folder / f"{name}.csv").write_bytes(line_end.join([" ", name, "=" * 20, *lines, ""]).encode())
+    read = lambda whole: sorted(map(str, stat_tree.read_stat_rows(spark, str(tmp_path), whole).collect()))
+    as_lines = read(0)
+    assert len(as_lines) == 71 and "Category='Surface', Object ID='7'" in "".join(as_lines)
+    assert read(150) == read(1 << 20) == as_lines  # some files larger, none
+
+
+def test_rows_of_whole_files_are_not_shuffled(spark, tree):
+    """A file's header stands in the row of its lines, and values are ordered by the number of their file."""
+    plan = stat_tree.read_stat_rows(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    files = stat_tree.StatTree(spark, str(tree))
+    numbered = files.rows().select("_file", stat_tree.SOURCE).distinct().orderBy("_file").collect()
+    assert [r[1] for r in numbered] == sorted(r[1] for r in numbered) and len({r[0] for r in numbered}) == len(numbered)
+    assert files.levels("Surfaces") == ["CC"] and files.levels("Spots") == []
+
+
+def test_written_statistics_files(spark, tmp_path):
+    rows = [("W/T", "a b", f"i{k % 3}", f"{k}.5,x", f"{k},y") for k in range(30)] + [(None, "", "i0", "9.5,x", "9,y")]
+    df = frame(spark, {n: "s" for n in ["G", "T", "I", "Volume", "Intensity Sum"]}, rows).repartition(5)
+    stat_tree.write_stat_files(df, str(tmp_path / "tree"), ["G", "T", "I"], {"Volume": " \nVolume\n==\nVolume,C\n", "Intensity Sum": "sum\n"})
+    null = "__HIVE_DEFAULT_PARTITION__"
+    folders = [f"G=W%2FT/T=a b/I=i{k}" for k in range(3)] + [f"G={null}/T={null}/I=i0"]
+    names = sorted(f"{f}/{n}" for f in folders for n in ("Volume.csv", "Intensity_Sum.csv"))
+    assert sorted(str(p.relative_to(tmp_path / "tree")) for p in (tmp_path / "tree").rglob("*") if p.is_file()) == names
+    lines = (tmp_path / "tree" / folders[1] / "Volume.csv").read_text().splitlines()
+    assert lines[:4] == [" ", "Volume", "==", "Volume,C"] and sorted(lines[4:]) == sorted(f"{k}.5,x" for k in range(1, 30, 3))
+    assert (tmp_path / "tree" / folders[3] / "Intensity_Sum.csv").read_text() == "sum\n9,y\n"
