@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from morphotab import schema as S
 from morphotab.functions.columns import col, cols
 
+MOST_PLACES = 200  # columns that an object may have for its channels, values and sources
+
 SURPASS_OBJECT = "Surpass Object"
 SURFACES = "Surfaces"
 SPOTS = "Spots"
@@ -125,11 +128,55 @@ def leading_order(df: DataFrame) -> DataFrame:
     return df.select(*cols([*first, *rest, *last]))
 
 
+def _sources(rows: DataFrame, order: str, picks: dict[str, Column]) -> dict[tuple, list] | None:
+    """For every channel and value column the sources that hold such values, in their order; None if they are many."""
+    held = [F.count(v).alias(f"_{k}") for k, v in enumerate(picks.values())]
+    found = rows.groupBy(col(S.CHANNEL), col(order).alias("_order")).agg(*held)
+    some = found.limit(MOST_PLACES + 1).sort("_order").collect()
+    places: dict[tuple, list] = {(r[0], c): [] for r in some for c in picks}
+    for r in some:
+        for k, c in enumerate(picks):
+            if r[f"_{k}"]:
+                places[r[0], c].append(r["_order"])
+    few = len(some) <= MOST_PLACES and sum(map(len, places.values())) <= MOST_PLACES
+    return places if few else None
+
+
+def _harmonised_by_object(rows: DataFrame, order: str, picks: dict[str, Column], places: dict[tuple, list]) -> DataFrame:
+    """What `harmonise` returns, from one row for each object with a column for each channel, value column and source.
+
+    The smallest value of each is found before rows are dealt out, without a sort.
+    """
+    held = {(ch, c, k): f"_{i}" for i, (ch, c, k) in enumerate((ch, c, k) for (ch, c), names in places.items() for k in range(len(names)))}
+    values = [
+        F.min(F.when(col(S.CHANNEL).eqNullSafe(ch) & col(order).eqNullSafe(places[ch, c][k]), picks[c])).alias(name)
+        for (ch, c, k), name in held.items()
+    ]
+    channels = sorted({ch for ch, _ in places if ch is not None})
+    seen = [F.count(F.when(col(S.CHANNEL) == ch, 1)).alias(f"_seen{i}") for i, ch in enumerate(channels)]
+    objects = rows.groupBy(*cols(S.OBJECT_KEYS)).agg(*seen, *values)
+    types = dict(rows.select(*[v.alias(c) for c, v in picks.items()]).dtypes)
+
+    def first(ch: str, c: str) -> Column:
+        own, of_object = ([held[x, c, k] for k in range(len(places.get((x, c), [])))] for x in (ch, None))
+        return F.coalesce(*cols([*own, *of_object]), F.lit(None).cast(types[c])).alias(c)
+
+    out = [
+        F.when(F.col(f"_seen{i}") > 0, F.struct(F.lit(ch).alias(S.CHANNEL), *[first(ch, c) for c in picks]))
+        for i, ch in enumerate(channels)
+    ]
+    if not out:
+        out = [F.lit(None).cast(f"struct<{', '.join(f'`{c}`: {t}' for c, t in {S.CHANNEL: 'string', **types}.items())}>")]
+    spread = objects.select(*cols(S.OBJECT_KEYS), F.explode(F.array(*out)).alias("row")).where("row IS NOT NULL")
+    return spread.select(*cols(S.OBJECT_KEYS), "row.*")
+
+
 def harmonise(
     rows: DataFrame,
     order_by: str | None = None,
     surfaces: Sequence[str] | None = None,
     spots: Sequence[str] | None = None,
+    few_sources: bool = False,
 ) -> DataFrame:
     """The cleaned table from the rows of all files of all images.
 
@@ -139,6 +186,9 @@ def harmonise(
     channel; a channel never borrows another channel's value. Object-level rows without a time
     hold for all times of the object that have no value of their own. Objects without any
     channel are dropped.
+
+    With `few_sources`, `order_by` holds kinds of file rather than paths. They are looked at first; if there are no times
+    and only few channels and sources, the rows of an object meet where they are read, and much less is shuffled.
     """
     if SURPASS_OBJECT in rows.columns:
         rows = rows.withColumnRenamed(SURPASS_OBJECT, S.OBJECT)
@@ -162,6 +212,11 @@ def harmonise(
     skipped = {*keys, SURFACES, SPOTS, *statistics, S.SPOT_STATISTIC, order_by}
     plain = [c for c in rows.columns if c not in skipped]
     picks = {c: col(c) for c in plain} | pivots
+    numbers = rows.select(*[v.alias(c) for c, v in picks.items()]).schema.fields
+    if few_sources and order_by and S.TIME not in keys and all(isinstance(f.dataType, T.NumericType) for f in numbers):
+        places = _sources(rows, order_by, picks)
+        if places is not None:
+            return leading_order(rename_neighbour_distances(_harmonised_by_object(rows, order_by, picks, places)))
     dealt = rows.repartition(*cols(of_all_times))
     collapsed = dealt.groupBy(*cols(keys)).agg(*[first_known(v, order).alias(c) for c, v in picks.items()])
 

@@ -75,17 +75,18 @@ def measurement_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a supplier is one image, so its names are joined to the aggregated rows
         return df.join(places, F.col("l_suppkey") == F.col("s_suppkey")).withColumns(image_columns())
 
-    # nearly every group is one line: grouped before they are dealt out, all of a task's groups would be held at once
+    # nearly every group is one line: grouped before they are dealt out, all of a task's groups would be held at once;
+    # dealt out by image, they are grouped and get the image's names without moving again
     used = lines.select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linenumber", "l_discount", channel_column())
     typed = dealt(used, count, "l_partkey").join(dealt(parts, count, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     group = ["l_suppkey", "p_type", "p_size", S.CHANNEL]
     grouped = (
-        dealt(typed.drop("l_partkey", "p_partkey"), count, *group)
+        dealt(typed.drop("l_partkey", "p_partkey"), count, "l_suppkey")
         .groupBy(*group)
         .agg(*_measures(), F.min(F.round(F.col("l_discount") * 100)).alias(DISTANCE))
     )
     objects = (
-        placed(dealt(grouped, count, "l_suppkey"))
+        placed(grouped)
         .withColumns(object_columns())
         .withColumn(S.VOLUME, F.when(F.col("p_size") % 17 != 0, F.col(S.VOLUME)))
         .withColumn(S.OBJECT_ID, F.col("p_size").cast("string"))

@@ -12,7 +12,7 @@ from morphotab.functions.columns import col, cols, round_doubles, snake_case
 from morphotab.operators import bins, clean, declared, density, hypothesis, outliers, plotdata, quality, ranks, select, summary
 from morphotab.operators.catalog import named
 from morphotab.operators.derive import Ratios, derive, fill_reference_distance, images_with_reference
-from morphotab.plans.measurement_view import DISTANCE, MEASURES, measurements, suppliers, table
+from morphotab.plans.measurement_view import DISTANCE, MEASURES, dealt, measurements, suppliers, table
 from morphotab.plans.measurement_view import channel_column, image_columns, object_columns
 from morphotab.sources import stat_tree, tables
 from morphotab.sources.shared import mounted, new_folder, written
@@ -252,43 +252,45 @@ def _statistic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*cols(S.OBJECT_KEYS), F.explode(F.array(*rows)).alias("row")).select(*cols(S.OBJECT_KEYS), "row.*")
 
 
-def _prices(spark: SparkSession, sf_dir: str, by: str, statistic: str, label: Column) -> DataFrame:
-    """Lowest price per object and label, standing for a distance to a named neighbour."""
-    lines = table(spark, sf_dir, "lineitem")
+# how a line names a neighbour, by the column that holds the name
+NEIGHBOURS = {
+    clean.SURFACES: (S.SURFACE_STATISTICS[0], F.col, "l_returnflag"),
+    clean.SPOTS: (S.SPOT_STATISTIC, lambda c: (F.col(c) % 3).cast("string"), "l_linenumber"),
+}
+
+
+def _prices(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Lowest price per object and label, standing for a distance to a named neighbour; for all kinds, lines move once."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", *[NEIGHBOURS[k][2] for k in kinds])
+    count = lines.count()
+    typed = dealt(lines, count, "l_partkey").join(dealt(parts, count, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    labels = [F.struct(F.lit(k).alias("kind"), NEIGHBOURS[k][1](NEIGHBOURS[k][2]).alias("label")) for k in kinds]
     lowest = (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_suppkey", "p_type", "p_size", label.alias(by))
-        .agg(F.min("l_extendedprice").alias(statistic))
+        dealt(typed.drop("l_partkey", "p_partkey"), count, "l_suppkey")
+        .select("l_suppkey", "p_type", "p_size", "l_extendedprice", F.inline(F.array(*labels)))
+        .groupBy("l_suppkey", "p_type", "p_size", "kind", "label")
+        .agg(F.min("l_extendedprice").alias("price"))
     )
+    named = {k: (F.col("kind") == k, NEIGHBOURS[k][0]) for k in kinds}
+    statistic = F.coalesce(*[F.when(found, F.lit(statistic)) for found, statistic in named.values()])
     return (
         lowest.join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
         .withColumns({**image_columns(), **object_columns(), S.OBJECT_ID: F.col("p_size").cast("string")})
         .select(
             *cols(S.OBJECT_KEYS),
             F.lit(None).cast("string").alias(S.CHANNEL),
-            by,
-            col(statistic),
-            F.concat(F.lit(f"{statistic}_"), F.col(by)).alias(SOURCE),
+            *[c for k, (found, name) in named.items() for c in (F.when(found, F.col("label")).alias(k), F.when(found, F.col("price")).alias(name))],
+            F.concat(statistic, F.lit("_"), F.col("label")).alias(SOURCE),
         )
     )
 
 
-def _surface_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prices(spark, sf_dir, clean.SURFACES, S.SURFACE_STATISTICS[0], F.col("l_returnflag"))
-
-
-def _spot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = (F.col("l_linenumber") % 3).cast("string")
-    return _prices(spark, sf_dir, clean.SPOTS, S.SPOT_STATISTIC, label)
-
-
 @query
 def harmonise(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the prices are read for the names of the neighbours and for the values, so they are computed once
-    prices = [written(_surface_rows(spark, sf_dir), "surfaces"), written(_spot_rows(spark, sf_dir), "spots")]
-    frames = [_statistic_rows(spark, sf_dir), *prices]
-    return clean.harmonise(clean.union_rows(frames), order_by=SOURCE)
+    prices = written(_prices(spark, sf_dir, clean.SURFACES, clean.SPOTS), "prices")
+    return clean.harmonise(clean.union_rows([_statistic_rows(spark, sf_dir), prices]), order_by=SOURCE, few_sources=True)
 
 
 @query
@@ -304,13 +306,13 @@ def _with_unnamed(rows: DataFrame, by: str, statistic: str) -> DataFrame:
 
 @query
 def pivot_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_unnamed(_surface_rows(spark, sf_dir), clean.SURFACES, S.SURFACE_STATISTICS[0])
+    rows = _with_unnamed(_prices(spark, sf_dir, clean.SURFACES), clean.SURFACES, S.SURFACE_STATISTICS[0])
     return clean.pivot_surfaces(rows, S.OBJECT_KEYS)
 
 
 @query
 def pivot_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.pivot_spots(_with_unnamed(_spot_rows(spark, sf_dir), clean.SPOTS, S.SPOT_STATISTIC), S.OBJECT_KEYS)
+    return clean.pivot_spots(_with_unnamed(_prices(spark, sf_dir, clean.SPOTS), clean.SPOTS, S.SPOT_STATISTIC), S.OBJECT_KEYS)
 
 
 @query
