@@ -217,16 +217,17 @@ def harmonise(
         places = _sources(rows, order_by, picks)
         if places is not None:
             return leading_order(rename_neighbour_distances(_harmonised_by_object(rows, order_by, picks, places)))
-    dealt = rows.repartition(*cols(of_all_times))
-    collapsed = dealt.groupBy(*cols(keys)).agg(*[first_known(v, order).alias(c) for c, v in picks.items()])
+    # the sort of the aggregation compares a number first, where texts mostly begin alike
+    dealt = rows.repartition(*cols(of_all_times)).withColumn("_at", F.xxhash64(*cols(of_all_times)))
+    collapsed = dealt.groupBy("_at", *cols(keys)).agg(*[first_known(v, order).alias(c) for c, v in picks.items()])
 
-    of_object = Window.partitionBy(*cols(object_keys))
+    of_object = Window.partitionBy("_at", *cols(object_keys))
     no_channel = col(S.CHANNEL).isNull()
     spread = {
         c: F.coalesce(col(c), F.max(F.when(no_channel, col(c))).over(of_object)) for c in picks
     }
     if S.TIME in keys:
-        all_times = Window.partitionBy(*cols(of_all_times))
+        all_times = Window.partitionBy("_at", *cols(of_all_times))
         timeless = no_channel & col(S.TIME).isNull()
         spread = {c: F.coalesce(v, F.max(F.when(timeless, col(c))).over(all_times)) for c, v in spread.items()}
-    return leading_order(rename_neighbour_distances(collapsed.withColumns(spread).where(~no_channel)))
+    return leading_order(rename_neighbour_distances(collapsed.withColumns(spread).where(~no_channel).drop("_at")))

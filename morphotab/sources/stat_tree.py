@@ -93,6 +93,11 @@ def _listed(spark: SparkSession, kind: str, root: str, size: Column) -> DataFram
     return reader.format(kind).load(root).where(~skipped_file(_source()) & size)
 
 
+def _in_fewer_tasks(files: DataFrame, least: int = 1) -> DataFrame:
+    """Small files read in some tasks for each core; Spark plans one for every 32 of them."""
+    return files.coalesce(max(least, 4 * files.sparkSession.sparkContext.defaultParallelism))
+
+
 def _stored_lines(spark: SparkSession, root: str, size: Column) -> DataFrame:
     """All lines of the files, with the split they come from and their order in it, written once to the shared folder.
 
@@ -132,9 +137,10 @@ def addressed_lines(spark: SparkSession, root: str, size: Column) -> tuple[DataF
 def _stored_files(files: DataFrame, numbers: DataFrame, size: int) -> DataFrame:
     """Header and lines below it of every file, in one row, written once to the shared folder: the files are opened once."""
     tasks = max(1, -(-size // TEXT_BYTES))
-    lines = F.split(F.col("content").cast("string"), "\r\n?|\n")
+    text = F.col("content").cast("string")
+    lines = F.when(F.contains(text, F.lit("\r")), F.split(text, "\r\n?|\n")).otherwise(F.split(text, "\n"))
     whole = (
-        files.select(_source().alias(SOURCE), lines.alias("_all"))
+        _in_fewer_tasks(files, tasks).select(_source().alias(SOURCE), lines.alias("_all"))
         .select(SOURCE, *_told(), F.get("_all", F.lit(PREAMBLE_LINES)).alias("_header"), F.slice("_all", PREAMBLE_LINES + 2, F.size("_all")).alias("_lines"))
         .where(F.trim("_header") != "")
     )
@@ -155,7 +161,7 @@ class StatTree:
     def __init__(self, spark: SparkSession, root: str, whole: int = WHOLE_BYTES):
         size = F.col("_metadata.file_size")
         files = _listed(spark, "binaryFile", root, F.lit(True))
-        known = files.select(_source().alias(SOURCE), size.alias("_size")).orderBy(SOURCE).withColumn("_file", F.monotonically_increasing_id())
+        known = _in_fewer_tasks(files).select(_source().alias(SOURCE), size.alias("_size")).orderBy(SOURCE).withColumn("_file", F.monotonically_increasing_id())
         known = written(known, "listed")
         numbers = known.select(SOURCE, "_file")
         sizes = {r["large"]: r["size"] for r in known.groupBy((F.col("_size") > whole).alias("large")).agg(F.sum("_size").alias("size")).collect()}
